@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tamis import plans  # noqa: F401  each module there registers its queries
+    import tamis.plans  # noqa: F401  each module there registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
