@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, near_dedup, packing, sharding, substring_dedup
+from . import decontamination, language_id, near_dedup, packing, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_decontamination": decontamination.op5_decontamination,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_language_id": language_id.op8_language_id,
     "op10_sharding": sharding.op10_sharding,
 }
