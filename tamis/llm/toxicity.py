@@ -27,8 +27,8 @@ from .common import crc_of_id, read, slices
 #: Bound of the training sample: labelled rows, and characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
 THRESHOLD = 0.3
-#: A lexicon term has at least so many letters, toxic sample documents, and standard deviations of log odds; at most so many terms.
-MIN_LETTERS, MIN_DOCS, MIN_Z, MAX_TERMS = 4, 6, 4.5, 200
+#: A lexicon term has at least so many letters, toxic sample documents, and log-likelihood ratio; at most so many terms.
+MIN_LETTERS, MIN_DOCS, MIN_RATIO, MAX_TERMS = 4, 6, 24.0, 200
 #: It also stands after so many different words, or copied passages would fill the lexicon.
 MIN_BEFORE = 4
 #: So large a share of the sample documents that hold it are toxic.
@@ -204,7 +204,7 @@ class Matcher:
 
 
 def learn_terms(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """Words and stems (with ``*``) that mark toxic documents, by the z value of their log odds; a word that a stem covers is left out."""
+    """Words and stems (with ``*``) that mark toxic documents, by the log-likelihood ratio of their document counts; a word that a stem covers is left out."""
     by = [Counter(), Counter()]
     before: dict[str, set[str]] = {}
     forms: dict[str, set[str]] = {}
@@ -233,10 +233,10 @@ def learn_terms(texts: list[str], toxic: np.ndarray) -> list[str]:
         b = by[0][w]
         if a < MIN_DOCS or a < MIN_SHARE * (a + b) or len(before[w]) < max(MIN_BEFORE, min(a // 4, 12)) or w[-1] == "*" and len(forms[w]) < MIN_FORMS:
             continue
-        odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-        z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if z >= MIN_Z and odds > 1.5:
-            found.append((-z, w))
+        toxic_if_even = (a + b) * n1 / (n0 + n1)
+        ratio = 2 * (a * np.log(a / toxic_if_even) + (b * np.log(b / (a + b - toxic_if_even)) if b else 0.0))
+        if ratio >= MIN_RATIO:
+            found.append((-ratio, w))
     stems = {w[:-1] for _, w in found if w[-1] == "*"}
     found = [(z, w) for z, w in found if not any(w[:k] in stems for k in range(1, len(w.rstrip("*")) + (w[-1] != "*")))]
     return [w for _, w in sorted(found)[:MAX_TERMS]]
