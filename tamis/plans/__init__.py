@@ -1 +1,7 @@
+"""The query catalogue: importing this package registers every query."""
 
+import importlib
+import pkgutil
+
+for _m in pkgutil.iter_modules(__path__):
+    importlib.import_module(f"{__name__}.{_m.name}")
