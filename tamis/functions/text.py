@@ -105,11 +105,12 @@ def query_relevance(content: Column, query: Column) -> Column:
 
 
 def keyword_positions(text: Column, keyword: Column) -> Column:
-    """Places (from 0) of a keyword, overlapping ones too."""
+    """Places (from 0) of a keyword, overlapping ones too. The text is cut before every place, so the work is one pass."""
     t, k = F.lower(text), F.lower(keyword)
-    last = F.length(t) - F.length(k)
-    places = F.when((last >= 0) & (F.length(k) > 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda i: F.substr(t, i + 1, F.length(k)) == k)
+    pieces = F.split(t, F.concat(F.lit(r"(?=\Q"), k, F.lit(r"\E)")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when(F.startswith(p, k), F.array_append(acc["out"], acc["at"])).otherwise(acc["out"]).alias("out"))
+    return F.when(F.length(k) > 0, F.aggregate(pieces, start, step)["out"]).otherwise(F.array().cast("array<int>"))
 
 
 def keyword_count(text: Column, keyword: Column) -> Column:
