@@ -109,7 +109,7 @@ def keyword_positions(text: Column, keyword: Column) -> Column:
     t, k = F.lower(text), F.lower(keyword)
     pieces = F.split(t, F.concat(F.lit(r"(?=\Q"), k, F.lit(r"\E)")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when(F.startswith(p, k), F.array_append(acc["out"], acc["at"])).otherwise(acc["out"]).alias("out"))
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when((acc["at"] > 0) | F.startswith(t, k), F.array_append(acc["out"], acc["at"])).otherwise(acc["out"]).alias("out"))
     return F.when(F.length(k) > 0, F.aggregate(pieces, start, step)["out"]).otherwise(F.array().cast("array<int>"))
 
 

@@ -61,11 +61,12 @@ def outlier_fences(spark, d):
     return X.fences(X.errors_to_null(cells(spark, d))).select("table_id", "col_idx", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
-_DUP = "r AS (SELECT 'D' || (l_orderkey % 50) AS table_id, CAST(l_orderkey // 50 * 10 + l_linenumber AS INTEGER) AS row_idx, min(l_returnflag) AS a, min(l_linestatus) AS b, CAST(l_linenumber AS VARCHAR) AS c FROM lineitem WHERE l_orderkey < 2000 GROUP BY l_orderkey, l_linenumber)"
+_DUP = "r AS (SELECT 'D' || (l_orderkey % 50) AS table_id, CAST(l_orderkey // 50 * 10 + l_linenumber AS INTEGER) AS row_idx, min(l_returnflag) AS a, CASE WHEN l_linenumber % 2 = 0 THEN min(l_returnflag) ELSE min(l_linestatus) END AS b, CAST(l_linenumber AS VARCHAR) AS c FROM lineitem WHERE l_orderkey < 2000 GROUP BY l_orderkey, l_linenumber)"
 
 
 def line_cells(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey < 2000").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus"))
+    rows = table(spark, d, "lineitem").filter("l_orderkey < 2000").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("s"))
+    rows = rows.withColumn("l_linestatus", F.expr("CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE s END"))
     rows = rows.select(F.expr("'D' || (l_orderkey % 50)").alias("table_id"), F.lit(1).alias("page"), F.expr("CAST(l_orderkey div 50 * 10 + l_linenumber AS INT)").alias("row_idx"),
         F.inline(F.array(*(F.struct(F.lit(i).alias("col_idx"), F.lit(n).alias("col_name"), F.col(c).cast("string").alias("value")) for i, (n, c) in enumerate([("flag", "l_returnflag"), ("status", "l_linestatus"), ("line", "l_linenumber")])))))
     return rows
