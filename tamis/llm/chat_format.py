@@ -107,7 +107,7 @@ def train(lines: DataFrame) -> RoleModel:
     for r in lines.filter("role > 0").groupBy("role", "obs").count().collect():  # at most roles x observations rows
         counts[r["role"] - 1, r["obs"]] = r["count"]
     places = lines.filter("role > 0").groupBy("conv", "turn").agg(F.min("role").alias("role"))
-    after = places.select("conv", (F.col("turn") - 1).alias("turn"), F.col("role").alias("then"))
+    after = places.filter(F.col("turn") > _NULL).select("conv", (F.col("turn") - 1).alias("turn"), F.col("role").alias("then"))
     moves, first = np.zeros((k, k)), np.zeros(k)
     for r in places.join(after, ["conv", "turn"]).groupBy("role", "then").count().collect():
         moves[r["role"] - 1, r["then"] - 1] = r["count"]

@@ -215,10 +215,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one whose id names the component.
 
-    Rows with a null id are kept (nothing tells them apart); of rows that repeat the kept id, one stays.
+    Rows with a null id are kept (nothing tells them apart); of rows that share a kept id, the least by text, then by
+    the other columns, stays.
     """
     found = near_duplicates(docs, k=k)
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.filter("doc_id is not null")
-    once = named.join(kept, named["doc_id"] == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter("doc_id is null"))
+    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = named.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("r"))  # pre-aggregated; on the join's partitioning
+    return least.select("doc_id", "r.*").select(*docs.columns).unionByName(docs.filter("doc_id is null"))

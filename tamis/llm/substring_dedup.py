@@ -316,19 +316,22 @@ def build_index(rows: DataFrame, batches: int = BATCHES) -> FingerprintIndex:
     return index
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: FingerprintIndex | None = None, keep_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: FingerprintIndex | None = None, history: DataFrame | None = None, keep_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 (and kept, the text left, if asked for).
 
     Every occurrence of a repeated window is removed. Null texts have no words. Repeated rows are repeats of each
     other. Texts under 35 words lose nothing. An empty table gives no rows; extra columns are ignored. With an
-    ``index`` that holds earlier batches, ``docs`` is appended to it and judged against them too.
+    ``index`` that holds earlier batches, ``docs`` is appended to it and judged against them too; ``history``, the
+    documents of those batches, is where the verification reads the windows of their entries.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = known = keyed(docs, id_col, text_col)
     if index is None:
         index = build_index(rows)
     else:
         index.append(entries(rows))
-    marks = repeated(rows, index).groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
+        if history is not None:
+            known = rows.unionByName(keyed(history, id_col, text_col))
+    marks = repeated(known, index).groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
     both = rows.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
