@@ -176,3 +176,63 @@ def overlay_settings(base: dict, by_type: dict, kind: str) -> dict:
 
 def interpretations(answer: Column) -> Column:
     return F.slice(F.filter(F.transform(F.split(answer, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, 3)
+
+
+# Texts that ask for clarification, by reason.
+CLARIFICATIONS = {
+    "multiple_themes": ("Votre question touche plusieurs thèmes:\n", "\n\nSur quel aspect spécifique souhaitez-vous des informations ?"),
+    "low_confidence": ("Je ne suis pas certain de bien comprendre votre demande.\nVoici ce que j'ai compris : ", "\nPourriez-vous confirmer ou reformuler ?"),
+    "insufficient_context": ("Je n'ai pas trouvé suffisamment d'informations précises sur ce sujet.\nPourriez-vous :\n1. Être plus spécifique sur ", "\n2. Donner un exemple concret\n3. Préciser le contexte d'utilisation"),
+    "query_ambiguity": ("Votre question pourrait avoir plusieurs interprétations. Voulez-vous dire :\n", ""),
+}
+PROCESS_SUGGESTIONS = {
+    "creation": ["- Pouvez-vous préciser le type d'ouvrage (charpente, serrurerie, etc.) ?", "- Avez-vous des spécifications techniques particulières ?", "- Y a-t-il des contraintes de délai ?"],
+    "consultation": ["- Quel type d'information recherchez-vous spécifiquement ?", "- Dans quel contexte avez-vous besoin de ces informations ?"],
+}
+
+
+def bullets(items: Column) -> Column:
+    return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
+
+
+def clarification_text(reason: Column, theme_list: Column, understanding: Column, concepts: Column, readings: Column) -> Column:
+    """The text of a clarification; unknown reasons ask for the interpretation."""
+    fill = {"multiple_themes": bullets(theme_list), "low_confidence": understanding, "insufficient_context": F.array_join(concepts, ", "), "query_ambiguity": bullets(readings)}
+    text = lambda k: F.concat(F.lit(CLARIFICATIONS[k][0]), fill[k], F.lit(CLARIFICATIONS[k][1]))
+    out = text("query_ambiguity")
+    for k in ("multiple_themes", "low_confidence", "insufficient_context"):
+        out = F.when(reason == k, text(k)).otherwise(out)
+    return out
+
+
+def process_suggestions(kind: Column) -> Column:
+    out = F.lit("")
+    for k, lines in PROCESS_SUGGESTIONS.items():
+        out = F.when(kind == k, F.lit("\nSuggestions pour clarifier votre demande :\n" + "\n".join(lines))).otherwise(out)
+    return out
+
+
+def system_message(app: str, kind: Column, family: Column, today: Column, language: str = "Français", styles: dict[str, tuple[str, str]] | None = None, prefix: Column | None = None) -> Column:
+    """System part of a prompt: principles, date, language, the response type's description and style, a prefix."""
+    parts = [F.lit("\n".join([f"Je suis {app}, un assistant spécialisé.", "\nPrincipes fondamentaux :", "- Je fournis des informations précises", "- Je demande des clarifications si nécessaire", "- Je reconnais mes limites", "- Je me concentre sur des solutions pratiques"])),
+             F.concat(F.lit("\nDate actuelle : "), F.date_format(today, "dd/MM/yyyy")), F.lit(f"\nLangue : {language}")]
+    style = F.lit(None).cast("string")
+    for k, (about, how) in (styles or {}).items():
+        short = family.isin("t5", "mt5")
+        style = F.when((kind == k) & short, f"\nstyle: {about}\ninstructions: {how}").when(kind == k, f"\n[RESPONSE_TYPE]\n{about}\n{how}\n[/RESPONSE_TYPE]").otherwise(style)
+    parts.append(style)
+    if prefix is not None:
+        parts.append(F.concat(F.lit("\nInstructions spécifiques : "), prefix))
+    return F.concat_ws("\n", *parts)
+
+
+def chat_prompt(system: Column, context: Column, pairs: Column, query: Column, family: Column) -> Column:
+    """System, context, history pairs and the question, each formatted for the model's family; empty parts are left out."""
+    block = lambda role, c: F.when(F.coalesce(F.length(c), F.lit(0)) > 0, format_message(family, F.lit(role), c))
+    history = F.when(F.size(pairs) > 0, F.array_join(pairs, "\n"))
+    return F.concat_ws("\n", block("system", system), block("context", context), history, block("user", query))
+
+
+def answer(text: Column, documents: Column, confidence: Column, tokens: Column) -> Column:
+    """Answer with its documents and figures; a set text where there is none."""
+    return F.struct(F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit(EMPTY_ANSWER)).alias("response"), F.coalesce(confidence, F.lit(0.0)).alias("confidence_score"), F.coalesce(tokens, F.lit(0)).alias("tokens_used"), documents.alias("documents"))

@@ -145,3 +145,32 @@ def assemble(cells: DataFrame) -> DataFrame:
     items = line_items(known.filter("role = 'line_items'")).join(docs, "table_id").groupBy("doc_id").agg(F.count("*").alias("item_count"), F.sum(F.coalesce("total", F.lit(0.0))).alias("total_amount"))
     sums = totals(known.filter("role = 'totals'")).join(docs, "table_id").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "amount"))).alias("totals"))
     return cells.select("doc_id").distinct().join(head, "doc_id", "left").join(items, "doc_id", "left").join(sums, "doc_id", "left").fillna({"item_count": 0, "total_amount": 0.0})
+
+
+def kind_counts(cells: DataFrame) -> DataFrame:
+    """Products, services and options per document, by the roles of its tables."""
+    roles = table_names(cells).select("table_id", technical_role(F.col("names"), F.col("n_rows")).alias("role"), "n_rows")
+    docs = cells.select("table_id", "doc_id").distinct()
+    count = lambda r: F.coalesce(F.sum(F.when(F.col("role") == r, F.col("n_rows"))), F.lit(0)).alias(r)
+    return docs.join(roles, "table_id").groupBy("doc_id").agg(*(count(r) for r in ("products", "services", "options")))
+
+
+def client_info(cells: DataFrame) -> DataFrame:
+    return first_row_fields(cells, CLIENT_FIELDS)
+
+
+def form_map(rows: DataFrame) -> DataFrame:
+    """One map of all form rows of a document; a later table, row or column wins."""
+    last = rows.groupBy("doc_id", "key").agg(F.max_by("value", F.struct("table_id", "row_idx")).alias("value"))
+    return last.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("fields"))
+
+
+def section_boxes(sections: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(section, ids array) with the first box of each id, in the list's order."""
+    first = boxes.groupBy("id").agg(F.min_by("label", "position").alias("label"))
+    return sections.select("section", F.posexplode("ids").alias("place", "id")).join(first, "id").select("section", "place", "id", "label")
+
+
+def document_type_scores() -> dict[str, float]:
+    """Even shares: documents carry no sign that is weighed."""
+    return {k: 0.25 for k in ("invoice", "technical_quote", "form", "generic")}

@@ -387,22 +387,12 @@ def optimize(cells: DataFrame) -> DataFrame:
     return merge_fragments(c.select("table_id", "page", "row_idx", "col_idx", "col_name", "value"))
 
 
-# Weights and bands of the page statistics of a document.
-COMPLEXITY_WEIGHTS = {"pages": 0.05, "images": 0.15, "tables": 0.25, "lines": 0.15, "fonts": 0.15, "layout": 0.25}
-
-
-def document_complexity(factors: dict[str, Column]) -> Column:
-    total = F.lit(0.0)
-    for k, w in COMPLEXITY_WEIGHTS.items():
-        total = total + w * F.least(F.greatest(factors[k], F.lit(0.0)), F.lit(1.0))
-    return total
-
-
-def document_type(text: Column, fonts: Column, images: Column, lines: Column) -> Column:
-    """scanned, digital or hybrid from four scanned-ness scores."""
-    score = 0.5 * text + 0.25 * fonts + 0.15 * images + 0.1 * lines
-    return F.when(score > 0.65, "scanned").when(score < 0.35, "digital").otherwise("hybrid")
-
-
-def choose_strategy(kind: Column, complexity: Column) -> Column:
-    return F.when(kind == "scanned", "ocr").when((kind == "digital") & (complexity < 0.4), "lattice").when(kind == "digital", "stream").otherwise("hybrid")
+def sane(cells: DataFrame) -> DataFrame:
+    """Tables that are none: too small, over four fifths empty, or a long list with one column of all distinct values beside columns of another kind."""
+    t = column_types(cells).groupBy("table_id").agg(F.count_if(F.col("type").isin("integer", "float")).alias("numeric"), F.count_if(F.col("type") == "text").alias("text"))
+    distinct = cells.groupBy(*COLUMN).agg(F.count_distinct("value").alias("u")).groupBy("table_id").agg(F.max("u").alias("most"))
+    empty = cells.groupBy("table_id").agg((F.count_if(F.col("value").isNull()) / F.count("*")).alias("empty"))
+    g = shape(cells).join(t, "table_id").join(distinct, "table_id").join(empty, "table_id")
+    uneven = ((F.col("numeric") == 1) & (F.col("text") > 3)) | ((F.col("text") == 1) & (F.col("numeric") > 3))
+    listing = uneven & (F.col("most") == F.col("n_rows")) & (F.col("n_rows") > 4)
+    return g.select("table_id", ((F.col("n_rows") >= 2) & (F.col("n_cols") >= 2) & (F.col("empty") <= 0.8) & ~listing).alias("sane"))

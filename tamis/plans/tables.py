@@ -411,12 +411,9 @@ def grid_cells(spark, d):
     return G.grid_cells(boxes(spark, d)).select("box_id", F.col("cell_no").cast("long").alias("cell_no"))
 
 
-@register("document_kind", """SELECT part_id, kind, CASE WHEN kind = 'scanned' THEN 'ocr' WHEN kind = 'digital' AND cx < 0.4 THEN 'lattice' WHEN kind = 'digital' THEN 'stream' ELSE 'hybrid' END AS strategy FROM (
-SELECT p_partkey AS part_id, CASE WHEN s > 0.65 THEN 'scanned' WHEN s < 0.35 THEN 'digital' ELSE 'hybrid' END AS kind, p_partkey % 10 / 10.0 AS cx FROM (SELECT p_partkey, 0.5 * (p_partkey % 11 / 10.0) + 0.25 * (p_partkey % 7 / 6.0) + 0.15 * (p_partkey % 5 / 4.0) + 0.1 * (p_partkey % 3 / 2.0) AS s FROM part))""")
-def document_kind(spark, d):
-    m = lambda n, by: (F.col("p_partkey") % n) / F.lit(float(by))
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), X.document_type(m(11, 10), m(7, 6), m(5, 4), m(3, 2)).alias("kind"), m(10, 10).alias("cx"))
-    return rows.select("part_id", "kind", X.choose_strategy(F.col("kind"), F.col("cx")).alias("strategy"))
+@register("table_sanity", _C + ", s AS (SELECT table_id, count(DISTINCT row_idx) AS r, count(*) FILTER (WHERE value IS NULL) / count(*) AS e FROM c GROUP BY 1), k AS (SELECT table_id, col_idx, count(value) > 0 AND count(" + _NUM + ") > 0.7 * count(value) AS num, count(DISTINCT value) AS u FROM c GROUP BY 1, 2), m AS (SELECT table_id, count(*) FILTER (WHERE num) AS n, count(*) FILTER (WHERE NOT num) AS t, max(u) AS u FROM k GROUP BY 1) SELECT table_id, r >= 2 AND e <= 0.8 AND NOT (((n = 1 AND t > 3) OR (t = 1 AND n > 3)) AND u = r AND r > 4) AS sane FROM s JOIN m USING (table_id)")
+def table_sanity(spark, d):
+    return X.sane(cells(spark, d))
 
 
 @register("export_markdown", _C + ", r AS (SELECT table_id, row_idx, '| ' || string_agg(coalesce(value, ''), ' | ' ORDER BY col_idx) || ' |' AS line FROM c GROUP BY 1, 2) SELECT table_id, string_agg(line, chr(10) ORDER BY row_idx) AS body FROM r GROUP BY 1")
