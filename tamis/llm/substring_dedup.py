@@ -256,7 +256,16 @@ class FingerprintIndex:
         groups = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"), F.max(several).alias("several"))
         groups = groups.filter((F.col("n") > 1) | (F.col("several") > 0))
         whole = (F.col("n") > 1) & (F.col("lo") == F.col("hi"))
-        return rows.join(groups.select("anchor", whole.alias("whole")), "anchor")
+        return rows.join(_apart(groups.select("anchor", whole.alias("whole"))), "anchor")
+
+
+def _apart(counts: DataFrame) -> DataFrame:
+    """Aggregated keys dealt evenly, off their aggregation's partitioning.
+
+    A join to an aggregate on the same keys would reuse its partitioning, and Spark could not split a hot key's rows on
+    the other side; with an exchange of its own on either side it can. These rows are distinct keys, so they are few.
+    """
+    return counts.repartition(max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def repeated(rows: DataFrame, index: FingerprintIndex) -> DataFrame:
@@ -264,7 +273,7 @@ def repeated(rows: DataFrame, index: FingerprintIndex) -> DataFrame:
     found = materialize(index.candidates(), "candidates")
     mixed = found.filter("not whole")
     spans = mixed.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one"))
-    again = mixed.join(spans.filter("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi")
+    again = mixed.join(_apart(spans.filter("n > 1").select("anchor", "span")), ["anchor", "span"], "left_semi")
     open_ = spans.select("one.k1", "one.k2", F.struct(F.col("one.place").alias("place"), (F.col("n") == 1).alias("open")).alias("r"))
     wanted = open_.groupBy("k1", "k2").agg(F.collect_list("r").alias("wanted"))  # at most the runs of one document
 
@@ -288,7 +297,7 @@ def repeated(rows: DataFrame, index: FingerprintIndex) -> DataFrame:
 
     windows = rows.join(wanted, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "wanted").mapInArrow(explode, "w1 long, w2 long, k1 long, k2 long, begin long")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-    single = windows.filter("begin >= 0").join(twice, ["w1", "w2"], "left_semi").select("k1", "k2", (F.shiftleft("begin", FIRST_SHIFT) + 1).alias("place"))
+    single = windows.filter("begin >= 0").join(_apart(twice), ["w1", "w2"], "left_semi").select("k1", "k2", (F.shiftleft("begin", FIRST_SHIFT) + 1).alias("place"))
     return found.filter("whole").select("k1", "k2", "place").unionByName(again.select("k1", "k2", "place")).unionByName(single)
 
 
