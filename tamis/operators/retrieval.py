@@ -15,7 +15,7 @@ from tamis.functions.analyzer import ascii_tokens
 from tamis.functions.vectors import cosine
 
 K1, B = 1.2, 0.75
-#: Queries whose terms are broadcast at once; more are scored in several passes.
+#: Queries scored in one plan; their terms are a literal of the scan's projection.
 MAX_QUERIES = 10_000
 # Default limits and weights of the strategies.
 MAX_DOCS, MIN_SCORE = 20, 0.3
@@ -31,32 +31,32 @@ def query_terms(queries: DataFrame, tokens: Callable[[Column], Column] = ascii_t
     return terms.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
 
 
-def postings(docs: DataFrame, wanted: DataFrame, fields: dict[str, Column], tokens: Callable[[Column], Column] = ascii_tokens) -> DataFrame:
-    """doc_id, field, dl (tokens of the field), term and tf, for terms of ``wanted`` only."""
+def postings(docs: DataFrame, wanted: list[str], fields: dict[str, Column], tokens: Callable[[Column], Column] = ascii_tokens) -> DataFrame:
+    """doc_id, field, dl (tokens of the field), term and tf, for the wanted terms only: other tokens never leave their row."""
     rows = None
     for name, text in fields.items():
         one = docs.select("doc_id", F.lit(name).alias("field"), tokens(text).alias("t"))
         rows = one if rows is None else rows.unionByName(one)
-    rows = rows.select("doc_id", "field", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    hits = rows.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    hits = rows.select("doc_id", "field", F.size("t").alias("dl"), F.explode(F.filter("t", lambda x: x.isin(wanted))).alias("term"))
     return hits.groupBy("doc_id", "field", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def field_stats(docs: DataFrame, fields: dict[str, Column], tokens: Callable[[Column], Column] = ascii_tokens) -> DataFrame:
-    """Documents with any token and mean length, per field: one row each."""
+    """Documents with any token and mean length, per field: one row each, in one pass."""
     sizes = docs.select(*(F.size(tokens(text)).alias(name) for name, text in fields.items()))
-    out = None
-    for name in fields:
-        one = sizes.filter(F.col(name) > 0).agg(F.count("*").alias("n_docs"), F.avg(name).alias("avg_dl")).select(F.lit(name).alias("field"), "n_docs", "avg_dl")
-        out = one if out is None else out.unionByName(one)
-    return out
+    aggs = [x for f in fields for x in (F.count_if(F.col(f) > 0).alias(f"n_{f}"), F.sum(f).alias(f"s_{f}"))]
+    rows = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"n_{f}").alias("n_docs"), F.try_divide(F.col(f"s_{f}"), F.col(f"n_{f}")).alias("avg_dl")) for f in fields))
+    return sizes.agg(*aggs).select(F.inline(rows))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, Column], boosts: dict[str, float] | None = None, all_terms: bool = True, tokens: Callable[[Column], Column] = ascii_tokens) -> DataFrame:
     """query_id, doc_id, score: best field per document (boosted), all query terms required in that field if asked."""
     boosts = boosts or {}
     terms = query_terms(queries, tokens)
-    post = postings(docs, terms, fields, tokens)
+    found = queries.limit(MAX_QUERIES + 1).select(F.explode(F.array_distinct(tokens(F.col("query")))).alias("t"), "query_id").collect()
+    if len({r["query_id"] for r in found}) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries at once; pass them in several frames")
+    post = postings(docs, sorted({r["t"] for r in found}), fields, tokens)
     stats = field_stats(docs, fields, tokens)
     frequency = post.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
