@@ -11,8 +11,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None):
-    """Decorator: adds a query, and its SQL where it has one."""
+def register(name: str, sql: str | None = None, doubles: tuple[str, ...] = ()):
+    """Decorator: adds a query, and its SQL where it has one. ``doubles`` are columns that SQL's decimal literals would make decimals."""
+    if sql and doubles:
+        sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in doubles)}) FROM ({sql})"
 
     def add(f):
         if name in _QUERIES:

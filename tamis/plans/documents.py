@@ -32,7 +32,7 @@ _SCORE = "0.5 * avg(CASE WHEN chars < 50 THEN 0.9 ELSE least(1.0, words / 500.0)
 _KIND = f"SELECT doc_id, CASE WHEN s > 0.65 THEN 'scanned' WHEN s < 0.35 THEN 'digital' ELSE 'hybrid' END AS kind, round(CASE WHEN s > 0.65 THEN s WHEN s < 0.35 THEN 1 - s ELSE 0.5 END, 6) AS confidence FROM (SELECT doc_id, {_SCORE} AS s FROM ({_PAGES}) GROUP BY 1)"
 
 
-@register("document_complexity", _CPX)
+@register("document_complexity", _CPX, doubles=("complexity",))
 def document_complexity(spark, d):
     return D.complexity(pages(spark, d)).withColumn("complexity", F.round("complexity", 6))
 
@@ -50,7 +50,7 @@ def strategy_choice(spark, d):
 
 
 @register("strategy_plan", f"""SELECT doc_id, m AS method, w AS weight, round(t * least(2.5, greatest(1.0, complexity * 1.8)), 6) AS seconds FROM ({_KIND}) JOIN ({_CPX}) USING (doc_id) JOIN (VALUES ('scanned', 'ocr', 1.2, 90.0), ('hybrid', 'camelot', 1.1, 30.0), ('hybrid', 'tabula', 0.9, 25.0), ('hybrid', 'pdfplumber', 0.8, 20.0), ('hybrid', 'ocr', 0.7, 60.0),
-('digital', 'camelot', 1.1, 25.0), ('digital', 'tabula', 1.0, 20.0), ('digital', 'pdfplumber', 0.8, 15.0)) AS v(k, m, w, t) ON k = kind WHERE NOT (kind = 'hybrid' AND m = 'ocr' AND complexity >= 0.6)""")
+('digital', 'camelot', 1.1, 25.0), ('digital', 'tabula', 1.0, 20.0), ('digital', 'pdfplumber', 0.8, 15.0)) AS v(k, m, w, t) ON k = kind WHERE NOT (kind = 'hybrid' AND m = 'ocr' AND complexity >= 0.6)""", doubles=("weight", "seconds"))
 def strategy_plan(spark, d):
     p = pages(spark, d)
     return D.strategy_plan(D.kind(p).join(D.complexity(p), "doc_id").select("doc_id", "kind", F.round("complexity", 6).alias("complexity"))).withColumn("seconds", F.round("seconds", 6))

@@ -234,7 +234,7 @@ def jaccard_concepts(spark, d):
 _EXACT = f"len(list_filter({_CSQL}, lambda c: contains(lower(text), lower(c))))"
 
 
-@register("exact_match_boost", f"SELECT doc_id, round(least(1.0, 0.75 * (1 + 0.1 * {_EXACT})), 6) AS boosted FROM documents")
+@register("exact_match_boost", f"SELECT doc_id, round(least(1.0, 0.75 * (1 + 0.1 * {_EXACT})), 6) AS boosted FROM documents", doubles=("boosted",))
 def exact_match_boost(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(R.exact_match_boost(F.lit(0.75), F.col("text"), _concepts()), 6).alias("boosted"))
 

@@ -274,7 +274,7 @@ def technical_table_roles(spark, d):
 
 
 @register("invoice_totals", """SELECT 'S' || o_orderkey AS table_id, l.label, CASE l.label WHEN 'total_ht' THEN CAST(o_totalprice AS BIGINT) WHEN 'tax' THEN CAST(o_totalprice AS BIGINT) // 5 ELSE CAST(o_totalprice AS BIGINT) * 6 // 5 + 0.25 END AS amount FROM
-(SELECT o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders WHERE o_orderkey < 3000), (VALUES ('total_ht'), ('tax'), ('total_ttc')) AS l(label)""")
+(SELECT o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders WHERE o_orderkey < 3000), (VALUES ('total_ht'), ('tax'), ('total_ttc')) AS l(label)""", doubles=("amount",))
 def invoice_totals(spark, d):
     return I.totals(invoice_cells(spark, d).filter("table_id like 'S%' and col_idx > 0"))
 
@@ -310,7 +310,7 @@ def boolean_parse(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), I.truth(v).alias("truth"))
 
 
-@register("amount_parse", "SELECT p_partkey AS part_id, CASE p_partkey % 3 WHEN 0 THEN 0.0 WHEN 1 THEN p_partkey + 1000.5 ELSE p_partkey END AS amount FROM part")
+@register("amount_parse", "SELECT p_partkey AS part_id, CASE p_partkey % 3 WHEN 0 THEN 0.0 WHEN 1 THEN p_partkey + 1000.5 ELSE p_partkey END AS amount FROM part", doubles=("amount",))
 def amount_parse(spark, d):
     v = F.expr("CASE p_partkey % 3 WHEN 0 THEN '1.' || p_partkey || ',5' WHEN 1 THEN substr(CAST(p_partkey + 1000 AS STRING), 1, 1) || ' ' || substr(CAST(p_partkey + 1000 AS STRING), 2) || ',50 €' ELSE CAST(p_partkey AS STRING) END")
     return table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), I.amount(v).alias("amount"))

@@ -59,7 +59,7 @@ def section_split(spark, d):
     return T.sections(made(spark, d)).select("doc_id", F.col("section_idx").cast("long").alias("section_idx"), "content")
 
 
-@register("section_scores", _SECTIONS + " SELECT doc_id, section_idx, trim(substr(string_split(content, chr(10))[1], 1, 100)) AS title, round(score, 6) AS importance_score, CAST(len(regexp_extract_all(content, '[^ \\t\\n]+')) AS BIGINT) AS word_count, steps > 0 AS has_steps, actions > 0 AS has_actions FROM r")
+@register("section_scores", _SECTIONS + " SELECT doc_id, section_idx, trim(substr(string_split(content, chr(10))[1], 1, 100)) AS title, round(score, 6) AS importance_score, CAST(len(regexp_extract_all(content, '[^ \\t\\n]+')) AS BIGINT) AS word_count, steps > 0 AS has_steps, actions > 0 AS has_actions FROM r", doubles=("importance_score",))
 def section_scores(spark, d):
     rows = T.scored_sections(made(spark, d))
     return rows.select("doc_id", F.col("section_idx").cast("long").alias("section_idx"), F.col("title"), F.round("importance_score", 6).alias("importance_score"), F.col("word_count").cast("long").alias("word_count"), "has_steps", "has_actions")
@@ -153,7 +153,7 @@ def clarification_reason(spark, d):
 
 
 @register("theme_ambiguity", f"""WITH t AS (SELECT doc_id % 50 AS query_id, ({_THEME_LIST}) AS th FROM {_Q} WHERE confidence >= 0.5), a AS (SELECT query_id, round(0.2 * count(*) FILTER (WHERE len(th) > 1), 6) AS ambiguity FROM t GROUP BY 1),
-s AS (SELECT query_id, array_to_string(list_sort(list(DISTINCT x)), '|') AS themes FROM (SELECT query_id, unnest(th) AS x FROM t) GROUP BY 1) SELECT a.query_id, ambiguity, coalesce(themes, '') AS themes FROM a LEFT JOIN s USING (query_id)""")
+s AS (SELECT query_id, array_to_string(list_sort(list(DISTINCT x)), '|') AS themes FROM (SELECT query_id, unnest(th) AS x FROM t) GROUP BY 1) SELECT a.query_id, ambiguity, coalesce(themes, '') AS themes FROM a LEFT JOIN s USING (query_id)""", doubles=("ambiguity",))
 def theme_ambiguity(spark, d):
     rows = asks(spark, d).filter(F.col("confidence") >= C.MIN_DOC_SCORE).select((F.col("doc_id") % 50).alias("query_id"), C.themes(F.col("query")).alias("t"))
     out = rows.groupBy("query_id").agg(F.round(0.2 * F.count_if(F.size("t") > 1), 6).alias("ambiguity"), F.array_distinct(F.flatten(F.collect_set("t"))).alias("t"))  # sets of a fixed theme list
@@ -163,7 +163,7 @@ def theme_ambiguity(spark, d):
 _PROC = f"CASE WHEN regexp_matches(lower(query), '(créer|nouveau|faire|réaliser|établir)|(nouvelle?|nouveau)[ ]+(devis|commande|projet)') THEN 'creation' WHEN regexp_matches(lower(query), '(modifier|changer|réviser|mettre à jour)|(modification|changement|révision)[ ]+(de|du|des)') THEN 'modification' WHEN regexp_matches(lower(query), '(voir|consulter|afficher|montrer)|(où|comment)[ ]+(trouver|voir)') THEN 'consultation' ELSE 'inconnu' END"
 
 
-@register("domain_process", f"SELECT doc_id, p AS process, CASE WHEN p <> 'inconnu' THEN 0.5 ELSE 0.0 END AS confidence, CASE WHEN p IN ('creation', 'modification') THEN 'technical' WHEN p = 'consultation' THEN 'comprehensive' ELSE 'general' END AS response_type, CAST(CASE WHEN p = 'inconnu' THEN 2 ELSE 1 END AS BIGINT) AS n_points FROM (SELECT doc_id, {_PROC} AS p FROM {_Q})")
+@register("domain_process", f"SELECT doc_id, p AS process, CASE WHEN p <> 'inconnu' THEN 0.5 ELSE 0.0 END AS confidence, CASE WHEN p IN ('creation', 'modification') THEN 'technical' WHEN p = 'consultation' THEN 'comprehensive' ELSE 'general' END AS response_type, CAST(CASE WHEN p = 'inconnu' THEN 2 ELSE 1 END AS BIGINT) AS n_points FROM (SELECT doc_id, {_PROC} AS p FROM {_Q})", doubles=("confidence",))
 def domain_process(spark, d):
     rows = asks(spark, d).select("doc_id", C.process(F.col("query")).alias("process"))
     p = F.col("process")
