@@ -35,26 +35,31 @@ def column_stats(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*COLUMN).agg(F.count("*").alias("cells"), F.count("value").alias("filled"), F.count(n).alias("numbers"), F.count_if(n % 1 == 0).alias("whole"))
 
 
-def error_counts(cells: DataFrame) -> DataFrame:
-    """Per table: hits of error marks (each mark counts) and words in columns that are mostly numbers."""
+def column_faults(cells: DataFrame) -> DataFrame:
+    """Per column: cells, empty ones, hits of error marks (each mark counts), and words if the column is mostly numbers."""
+    n, text = number(F.col("value")), F.lower(F.col("value"))
     marks = F.lit(0)
-    text = F.lower(F.coalesce("value", F.lit("none")))
     for m in ERROR_MARKERS:
         marks = marks + F.when(F.contains(text, F.lit(m)), 1).otherwise(0)
-    w = Window.partitionBy(*COLUMN)
-    odd = F.col("value").isNotNull() & number(F.col("value")).isNull() & (F.count(number(F.col("value"))).over(w) > NUMERIC_SHARE * F.count("*").over(w))
-    return cells.select("table_id", marks.alias("m"), F.when(odd, 1).otherwise(0).alias("o")).groupBy("table_id").agg(F.sum("m").alias("marker_hits"), F.sum("o").alias("odd_cells"))
+    g = cells.groupBy(*COLUMN).agg(F.count("*").alias("cells"), F.count("value").alias("filled"), F.count(n).alias("numbers"), F.sum(marks).alias("marks"))
+    odd = F.when(F.col("numbers") > NUMERIC_SHARE * F.col("cells"), F.col("filled") - F.col("numbers")).otherwise(0)
+    return g.select(*COLUMN, "cells", (F.col("cells") - F.col("filled")).alias("empty"), "marks", odd.alias("odd"))
+
+
+def error_counts(cells: DataFrame) -> DataFrame:
+    """Per table: hits of error marks and words in columns that are mostly numbers."""
+    return column_faults(cells).groupBy("table_id").agg(F.sum("marks").alias("marker_hits"), F.sum("odd").alias("odd_cells"))
 
 
 def verdicts(cells: DataFrame) -> DataFrame:
-    """Structure and content rules per table, and whether both hold."""
-    empty = cells.groupBy("table_id").agg((F.count_if(F.col("value").isNull()) / F.count("*")).alias("empty_ratio"))
-    both = shape(cells).join(empty, "table_id").join(error_counts(cells), "table_id")
-    ratio = (F.col("marker_hits") + F.col("odd_cells")) / F.col("n_cells")
-    return both.select(
-        "table_id", "n_rows", "n_cols", "empty_ratio", ratio.alias("error_ratio"), ((F.col("n_rows") >= MIN_ROWS) & (F.col("n_cols") >= MIN_COLS)).alias("structure_ok"),
-        ((F.col("empty_ratio") <= MAX_EMPTY) & (ratio <= MAX_ERROR)).alias("content_ok"),
-    ).withColumn("valid", F.col("structure_ok") & F.col("content_ok"))
+    """Structure and content rules per table, and whether both hold, in one pass over the cells.
+
+    Tables are rectangular: a cell for every row and column, null where it is empty.
+    """
+    g = column_faults(cells).groupBy("table_id").agg(F.max("cells").alias("n_rows"), F.count("*").alias("n_cols"), F.sum("cells").alias("n_cells"), F.sum("empty").alias("n_empty"), (F.sum("marks") + F.sum("odd")).alias("n_errors"))
+    empty, error = F.col("n_empty") / F.col("n_cells"), F.col("n_errors") / F.col("n_cells")
+    structure, content = (F.col("n_rows") >= MIN_ROWS) & (F.col("n_cols") >= MIN_COLS), (empty <= MAX_EMPTY) & (error <= MAX_ERROR)
+    return g.select("table_id", "n_rows", "n_cols", empty.alias("empty_ratio"), error.alias("error_ratio"), structure.alias("structure_ok"), content.alias("content_ok"), (structure & content).alias("valid"))
 
 
 def name_columns(cells: DataFrame) -> DataFrame:
@@ -70,10 +75,11 @@ def errors_to_null(cells: DataFrame) -> DataFrame:
 
 
 def drop_repeated_rows(cells: DataFrame) -> DataFrame:
-    """First of rows with equal cells, per table."""
-    rows = cells.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("col_idx", "value"))).alias("sig"))
-    first = rows.groupBy("table_id", "sig").agg(F.min("row_idx").alias("row_idx"))
-    return cells.join(first.select(*ROW), ROW, "left_semi")
+    """First of rows with equal cells, per table. A row travels whole, so nothing is joined back."""
+    rest = [c for c in cells.columns if c not in ("table_id", "row_idx", "col_idx", "value")]
+    rows = cells.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("col_idx", "value"))).alias("sig"), F.array_sort(F.collect_list(F.struct("col_idx", "value", *rest))).alias("c"))
+    first = rows.groupBy("table_id", "sig").agg(F.min_by(F.struct("row_idx", "c"), "row_idx").alias("r"))
+    return first.select("table_id", "r.row_idx", F.inline("r.c")).select(*cells.columns)
 
 
 def fences(cells: DataFrame) -> DataFrame:
@@ -84,9 +90,14 @@ def fences(cells: DataFrame) -> DataFrame:
 
 
 def outliers_to_null(cells: DataFrame) -> DataFrame:
-    joined = cells.join(fences(cells), COLUMN, "left")
-    fine = F.col("low").isNull() | number(F.col("value")).between(F.col("low"), F.col("high"))
-    return joined.withColumn("value", F.when(fine, F.col("value"))).drop("low", "high")
+    """Values outside their column's fences become null; the fences are a window over the column, so nothing is joined back."""
+    w = Window.partitionBy(*COLUMN)
+    n = number(F.col("value"))
+    q = F.when(F.col("numeric"), F.percentile(n, F.array(F.lit(0.1), F.lit(0.9))).over(w))
+    c = cells.withColumn("q", q)
+    span = F.col("q")[1] - F.col("q")[0]
+    fine = F.col("q").isNull() | n.between(F.col("q")[0] - 3 * span, F.col("q")[1] + 3 * span)
+    return c.withColumn("value", F.when(fine, F.col("value"))).drop("q")
 
 
 def fix(cells: DataFrame) -> DataFrame:
@@ -96,8 +107,8 @@ def fix(cells: DataFrame) -> DataFrame:
 def validate(cells: DataFrame) -> DataFrame:
     """Cells of tables with a sound structure, mended, whose content is sound."""
     sound = shape(cells).filter((F.col("n_rows") >= MIN_ROWS) & (F.col("n_cols") >= MIN_COLS)).select("table_id")
-    mended = fix(cells.join(sound, "table_id", "left_semi"))
-    return mended.join(verdicts(mended.drop("numeric")).filter("content_ok").select("table_id"), "table_id", "left_semi")
+    mended = fix(cells.join(sound, "table_id", "left_semi")).drop("numeric")
+    return mended.join(verdicts(mended).filter("content_ok").select("table_id"), "table_id", "left_semi")
 
 
 def column_types(cells: DataFrame) -> DataFrame:
@@ -396,3 +407,14 @@ def sane(cells: DataFrame) -> DataFrame:
     uneven = ((F.col("numeric") == 1) & (F.col("text") > 3)) | ((F.col("text") == 1) & (F.col("numeric") > 3))
     listing = uneven & (F.col("most") == F.col("n_rows")) & (F.col("n_rows") > 4)
     return g.select("table_id", ((F.col("n_rows") >= 2) & (F.col("n_cols") >= 2) & (F.col("empty") <= 0.8) & ~listing).alias("sane"))
+
+
+def process(cells: DataFrame) -> DataFrame:
+    """Sound tables, mended and optimised: what an extraction hands on."""
+    return optimize(validate(cells).select("table_id", "page", "row_idx", "col_idx", "col_name", "value"))
+
+
+def with_status(tables: DataFrame, processed: DataFrame) -> DataFrame:
+    """(table_id) of an extraction with its outcome: kept or rejected."""
+    kept = processed.select("table_id").distinct().withColumn("k", F.lit(True))
+    return tables.join(kept, "table_id", "left").select("table_id", F.when(F.col("k"), "kept").otherwise("rejected").alias("status"))

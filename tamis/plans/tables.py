@@ -24,7 +24,7 @@ _SQL_CELLS = " UNION ALL ".join(
 )
 _C = f"WITH c AS ({_SQL_CELLS}) "
 _NUM = "TRY_CAST(trim(value) AS DOUBLE)"
-_LOW = "lower(coalesce(value, 'none'))"
+_LOW = "lower(coalesce(value, 'nan'))"
 _MARKERS = " + ".join(f"CASE WHEN contains({_LOW}, '{m}') THEN 1 ELSE 0 END" for m in X.ERROR_MARKERS)
 _ERR = f"e AS (SELECT table_id, CAST(sum(m) AS BIGINT) AS marker_hits, CAST(sum(o) AS BIGINT) AS odd_cells FROM (SELECT table_id, {_MARKERS} AS m, CASE WHEN value IS NOT NULL AND {_NUM} IS NULL AND count({_NUM}) OVER w > 0.7 * count(*) OVER w THEN 1 ELSE 0 END AS o FROM c WINDOW w AS (PARTITION BY table_id, col_idx)) GROUP BY 1)"
 _SHAPE = "s AS (SELECT table_id, count(DISTINCT row_idx) AS n_rows, count(DISTINCT col_idx) AS n_cols, count(*) AS n_cells, count(*) FILTER (WHERE value IS NULL) AS n_null FROM c GROUP BY 1)"
@@ -429,3 +429,14 @@ def export_json_rows(spark, d):
 
     rows = export.json_rows(cells(spark, d))
     return rows.select("table_id", "row_idx", F.size(F.filter(F.map_values(F.from_json("json", "map<string,string>")), lambda v: v.isNotNull())).cast("long").alias("n_values"))
+
+
+@register("table_pipeline")
+def table_pipeline(spark, d):
+    return X.process(cells(spark, d))
+
+
+@register("table_status", _C + f", {_SHAPE}, {_ERR} SELECT table_id, CASE WHEN n_rows >= 2 AND n_cols >= 2 AND n_null / n_cells <= 0.7 AND (marker_hits + odd_cells) / n_cells <= 0.3 THEN 'kept' ELSE 'rejected' END AS status FROM s JOIN e USING (table_id)")
+def table_status(spark, d):
+    c = cells(spark, d)
+    return X.with_status(c.select("table_id").distinct(), X.verdicts(c).filter("valid"))

@@ -73,3 +73,25 @@ def old_files(spark, path: str, hours: float) -> DataFrame:
     """Files below a path not modified for so many hours."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
     return files.filter(F.col("modificationTime") < F.current_timestamp() - F.make_dt_interval(hours=F.lit(int(hours))))
+
+
+def flatten(df: DataFrame) -> DataFrame:
+    """Nested columns as JSON and times as text, for formats without them."""
+    out = {}
+    for name, kind in df.dtypes:
+        if kind.startswith(("array", "map", "struct")):
+            out[name] = F.to_json(name)
+        elif kind.startswith(("timestamp", "date")):
+            out[name] = F.col(name).cast("string")
+    return df.withColumns(out)
+
+
+def result(cells: DataFrame, form: str) -> DataFrame:
+    """A result in the format asked for: raw cells, records, csv or html."""
+    if form == "raw":
+        return cells
+    if form == "records":
+        return json_rows(cells)
+    if form in FORMATS:
+        return FORMATS[form](cells)
+    raise ValueError(f"unknown result format: {form}")

@@ -75,3 +75,21 @@ def test_search_session(spark):
 
 def test_type_scores():
     assert set(invoice.document_type_scores().values()) == {0.25}
+
+
+def test_flatten_and_results(spark):
+    df = spark.createDataFrame([([1, 2], {"a": 1})], "x array<int>, m map<string,int>").withColumn("t", F.expr("TIMESTAMP '2024-01-02 03:04:05'"))
+    from tamis.sources import export
+
+    assert tuple(export.flatten(df).first()) == ("[1,2]", '{"a":1}', "2024-01-02 03:04:05")
+    c = spark.createDataFrame([("t", 0, 0, "a", "x")], "table_id string, row_idx int, col_idx int, col_name string, value string")
+    assert export.result(c, "raw") is c and export.result(c, "html").count() == 1 and export.result(c, "records").count() == 1
+
+
+def test_table_process(spark):
+    from tamis.operators import tables
+
+    rows = [("t", 1, r, c, n, v) for r, vals in enumerate([("x", "1"), ("y", "2"), ("x", "1")]) for c, (n, v) in enumerate(zip(("a!", "b"), vals))]
+    rows.append(("small", 1, 0, 0, "a", "v"))
+    got = tables.process(spark.createDataFrame(rows, "table_id string, page int, row_idx int, col_idx int, col_name string, value string"))
+    assert sorted((r["table_id"], r["row_idx"], r["col_name"], r["value"]) for r in got.collect()) == [("t", 0, "a", "x"), ("t", 0, "b", "1"), ("t", 1, "a", "y"), ("t", 1, "b", "2")]
