@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Clean-up patterns in their order (all with dot-matches-newline, multi-line, ignore case).
 CLEANUP = [
-    (r"2M-MANAGER\s*–\s*.*?11000\s*CARCASSONNE.*?\n", ""),
     (r"Tél : [\d\.-]+", ""),
     (r"CMA\d+_rev\d+\s.*?\bOrganisme déclaré sous le n°\d+.*?\n", ""),
     (r"^Page \d+ sur \d+$", ""),
@@ -39,10 +40,14 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
 
 
-def clean(text: Column) -> Column:
-    """All clean-up patterns in order, then trimmed lines without blank ones."""
+def clean(text: Column, letterheads: tuple[tuple[str, str], ...] = ()) -> Column:
+    """All clean-up patterns in order, then trimmed lines without blank ones.
+
+    ``letterheads`` are (name, town) of page headers that go first: from ``name –`` to the end of the line with the town.
+    """
+    heads = [(rf"{re.escape(name)}\s*–\s*.*?{re.escape(town)}.*?\n", "") for name, town in letterheads]
     out = F.coalesce(text, F.lit(""))
-    for pattern, by in CLEANUP:
+    for pattern, by in [*heads, *CLEANUP]:
         out = F.regexp_replace(out, F.lit(f"(?imsu){pattern}"), F.lit(by))
     return F.array_join(lines_of(out), "\n")
 

@@ -70,6 +70,7 @@ def test_analyzer(spark):
 def test_cleaning(spark):
     assert one(spark, text.clean(F.lit("A  b\n\n\nc"))) == "A b c"
     assert one(spark, text.clean(F.lit("intro\nHistorique des révisions v1\nfin"))) == "intro"
+    assert one(spark, text.clean(F.lit("ACME – rue X\nY 99000 Ville, tel\nreste"), (("ACME", "99000 Ville"),))) == "reste"
     assert one(spark, text.revision(F.lit("CMA001_rev12"))) == "12" and one(spark, text.revision(F.lit("x"))) == "00"
 
 
