@@ -65,7 +65,7 @@ _DUP = "r AS (SELECT 'D' || (l_orderkey % 50) AS table_id, CAST(l_orderkey // 50
 
 
 def line_cells(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey < 2000").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("s"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("s"))
     rows = rows.withColumn("l_linestatus", F.expr("CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE s END"))
     rows = rows.select(F.expr("'D' || (l_orderkey % 50)").alias("table_id"), F.lit(1).alias("page"), F.expr("CAST(l_orderkey div 50 * 10 + l_linenumber AS INT)").alias("row_idx"),
         F.inline(F.array(*(F.struct(F.lit(i).alias("col_idx"), F.lit(n).alias("col_name"), F.col(c).cast("string").alias("value")) for i, (n, c) in enumerate([("flag", "l_returnflag"), ("status", "l_linestatus"), ("line", "l_linenumber")])))))
@@ -240,13 +240,13 @@ _LI = "li AS (SELECT 'L' || l_orderkey AS table_id, CAST(l_linenumber - 1 AS INT
 
 
 def invoice_cells(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey < 3000").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_quantity", "l_extendedprice")))
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_quantity", "l_extendedprice")))
     items = li.select(F.expr("'L' || l_orderkey").alias("table_id"), F.expr("'F' || l_orderkey").alias("doc_id"), F.expr("CAST(l_linenumber - 1 AS INT)").alias("row_idx"), F.inline(F.array(
         F.struct(F.lit(0).alias("col_idx"), F.lit("Description").alias("col_name"), F.expr("'part ' || l_partkey").alias("value")),
         F.struct(F.lit(1).alias("col_idx"), F.lit("Quantité").alias("col_name"), F.expr("CAST(CAST(l_quantity AS BIGINT) AS STRING)").alias("value")),
         F.struct(F.lit(2).alias("col_idx"), F.lit("Montant").alias("col_name"), F.expr("CAST(CAST(round(l_extendedprice) AS BIGINT) AS STRING) || ',50 €'").alias("value")),
     )))
-    o = table(spark, d, "orders").filter("o_orderkey < 3000")
+    o = table(spark, d, "orders")
     head = o.select(F.expr("'H' || o_orderkey").alias("table_id"), F.expr("'F' || o_orderkey").alias("doc_id"), F.lit(0).alias("row_idx"), F.inline(F.array(
         F.struct(F.lit(0).alias("col_idx"), F.lit("Facture n°").alias("col_name"), F.expr("'FA-' || o_orderkey").alias("value")),
         F.struct(F.lit(1).alias("col_idx"), F.lit("Date").alias("col_name"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("value")),
