@@ -204,7 +204,10 @@ class Matcher:
 
 
 def learn_terms(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """Words and stems (with ``*``) that mark toxic documents, by the log-likelihood ratio of their document counts; a word that a stem covers is left out."""
+    """Words and stems (with ``*``) that mark toxic documents, by the log-likelihood ratio of their document counts.
+
+    Words of the toxic documents that a stem covers follow after these: the stem reads them exactly, and they bring their own edits.
+    """
     by = [Counter(), Counter()]
     before: dict[str, set[str]] = {}
     forms: dict[str, set[str]] = {}
@@ -238,8 +241,10 @@ def learn_terms(texts: list[str], toxic: np.ndarray) -> list[str]:
         if ratio >= MIN_RATIO:
             found.append((-ratio, w))
     stems = {w[:-1] for _, w in found if w[-1] == "*"}
-    found = [(z, w) for z, w in found if not any(w[:k] in stems for k in range(1, len(w.rstrip("*")) + (w[-1] != "*")))]
-    return [w for _, w in sorted(found)[:MAX_TERMS]]
+    own = [(z, w) for z, w in found if not any(w[:k] in stems for k in range(1, len(w.rstrip("*")) + (w[-1] != "*")))]
+    terms = [w for _, w in sorted(own)[:MAX_TERMS]]
+    covered = {w for _, w in found if w[-1] != "*"}.difference(w for _, w in own).union(*(forms[w] for w in terms if w[-1] == "*"))
+    return terms + sorted(covered)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.5) -> np.ndarray:
@@ -293,7 +298,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     Null and empty texts have no match, and get the score of a text without one. Repeated rows get equal rows;
     an empty table gives none; extra columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS words and stems, and the sample's words that these stems cover
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
