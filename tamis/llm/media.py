@@ -27,7 +27,7 @@ from .common import materialize, read, slices
 #: Payload lengths are positive multiples of this (a 24 x 24 frame of 8-bit samples).
 UNIT, FILL = 576, b"\xff"
 #: Least and greatest chunk; between them a cut falls every 2**MASK_BITS bytes on average.
-MIN_CHUNK, MAX_CHUNK, MASK_BITS = 32 << 10, 128 << 10, 15
+MIN_CHUNK, MAX_CHUNK, MASK_BITS = 2 << 10, 8 << 10, 11
 LEVEL = 9
 _GEAR = np.random.default_rng(20260201).integers(0, 2**32, 256, dtype=np.uint32)
 
