@@ -9,16 +9,27 @@ from pyspark.sql import functions as F
 LAST_MESSAGES, LAST_PER_USER, KEPT_PAIRS = 5, 50, 5
 
 
+def exact_sum(c: str) -> Column:
+    """Sum of values to four places, in whole ten-thousandths (wide enough for any number of rows)."""
+    return F.sum(F.round(F.col(c) * 10_000).cast("decimal(20,0)"))
+
+
+def exact_mean(total: str, n: str) -> Column:
+    """Mean to six places from the :func:`exact_sum` of parts, halves rounded up; null without values."""
+    t, k = F.sum(total).cast("decimal(30,0)") * 200, F.sum(n).cast("decimal(18,0)")
+    return F.when(k > 0, F.floor((t + k) / (2 * k)).cast("double") / 1e6)
+
+
 def user_chat_statistics(users: DataFrame, sessions: DataFrame, history: DataFrame) -> DataFrame:
     """Users left join sessions left join history, grouped by user.
 
     History is summed per session before it meets the sessions, so the joins carry one row per session: averages are
-    rebuilt from sums and counts.
+    rebuilt from sums and counts. Sums are exact, of values to four places, so averages don't depend on the order of rows.
     """
-    per = history.groupBy("session_id").agg(F.count("id").alias("n"), F.sum("confidence_score").alias("cs"), F.count("confidence_score").alias("cn"), F.sum("processing_time").alias("ps"), F.count("processing_time").alias("pn"))
+    per = history.groupBy("session_id").agg(F.count("id").alias("n"), exact_sum("confidence_score").alias("cs"), F.count("confidence_score").alias("cn"), exact_sum("processing_time").alias("ps"), F.count("processing_time").alias("pn"))
     rows = sessions.join(per, "session_id", "left").groupBy("user_id").agg(
         F.count_distinct("session_id").alias("total_sessions"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_messages"),
-        (F.sum("cs") / F.nullif(F.sum("cn"), F.lit(0))).alias("avg_confidence_score"), (F.sum("ps") / F.nullif(F.sum("pn"), F.lit(0))).alias("avg_processing_time"), F.max("updated_at").alias("last_activity"),
+        exact_mean("cs", "cn").alias("avg_confidence_score"), exact_mean("ps", "pn").alias("avg_processing_time"), F.max("updated_at").alias("last_activity"),
     )
     zero = {c: 0 for c in ("total_sessions", "total_messages")}
     return users.join(rows, "user_id", "left").fillna(zero)

@@ -284,9 +284,9 @@ def search_summary(spark, d):
 
 
 @register("context_prompt_section", """SELECT query_id, string_agg('[' || printf('%.2f', score) || '] ' || content, chr(10) ORDER BY rn) AS context FROM (
-SELECT lang AS query_id, n_chars / 100.0 AS score, substr(text, 1, 40) AS content, row_number() OVER (PARTITION BY lang ORDER BY n_chars / 100.0 DESC, doc_id) AS rn FROM documents) WHERE rn <= 5 GROUP BY query_id""")
+SELECT lang AS query_id, n_chars / 100.0 AS score, text AS content, row_number() OVER (PARTITION BY lang ORDER BY n_chars / 100.0 DESC, doc_id) AS rn FROM documents) WHERE rn <= 5 GROUP BY query_id""")
 def context_prompt_section(spark, d):
-    rows = table(spark, d, "documents").select(F.col("lang").alias("query_id"), "doc_id", (F.col("n_chars") / 100.0).alias("score"), F.substring("text", 1, 40).alias("content"))
+    rows = table(spark, d, "documents").select(F.col("lang").alias("query_id"), "doc_id", (F.col("n_chars") / 100.0).alias("score"), F.col("text").alias("content"))
     return R.context_section(rows)
 
 

@@ -14,11 +14,11 @@ from tamis.streaming import metrics as M
 from tamis.streaming import ratelimit as R
 
 _TS = "yyyy-MM-dd HH:mm:ss"
-_TOK = "SELECT doc_id AS stream_id, generate_subscripts(w, 1) - 1 AS token_idx, unnest(w) AS token FROM (SELECT doc_id, regexp_extract_all(substr(text, 1, 400), '[a-zA-Z]+') AS w FROM documents)"
+_TOK = "SELECT doc_id AS stream_id, generate_subscripts(w, 1) - 1 AS token_idx, unnest(w) AS token FROM (SELECT doc_id, regexp_extract_all(text, '[a-zA-Z]+') AS w FROM documents)"
 
 
 def tokens(spark, d):
-    w = F.regexp_extract_all(F.substring("text", 1, 400), F.lit("[a-zA-Z]+"), 0)
+    w = F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), 0)
     return table(spark, d, "documents").select(F.col("doc_id").alias("stream_id"), F.posexplode(w).alias("token_idx", "token"))
 
 

@@ -61,7 +61,7 @@ def outlier_fences(spark, d):
     return X.fences(X.errors_to_null(cells(spark, d))).select("table_id", "col_idx", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
-_DUP = "r AS (SELECT 'D' || (l_orderkey % 50) AS table_id, CAST(l_orderkey // 50 * 10 + l_linenumber AS INTEGER) AS row_idx, min(l_returnflag) AS a, CASE WHEN l_linenumber % 2 = 0 THEN min(l_returnflag) ELSE min(l_linestatus) END AS b, CAST(l_linenumber AS VARCHAR) AS c FROM lineitem WHERE l_orderkey < 2000 GROUP BY l_orderkey, l_linenumber)"
+_DUP = "r AS (SELECT 'D' || (l_orderkey % 50) AS table_id, CAST(l_orderkey // 50 * 10 + l_linenumber AS INTEGER) AS row_idx, min(l_returnflag) AS a, CASE WHEN l_linenumber % 2 = 0 THEN min(l_returnflag) ELSE min(l_linestatus) END AS b, CAST(l_linenumber AS VARCHAR) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)"
 
 
 def line_cells(spark, d):
@@ -236,7 +236,7 @@ def greedy_table_merge(spark, d):
 
 
 # invoices: line items of an order are a table, its sums another, its header a third
-_LI = "li AS (SELECT 'L' || l_orderkey AS table_id, CAST(l_linenumber - 1 AS INTEGER) AS row_idx, 'part ' || min(l_partkey) AS description, CAST(CAST(min(l_quantity) AS BIGINT) AS VARCHAR) AS q, CAST(CAST(round(min(l_extendedprice)) AS BIGINT) AS VARCHAR) || ',50 €' AS t FROM lineitem WHERE l_orderkey < 3000 GROUP BY l_orderkey, l_linenumber)"
+_LI = "li AS (SELECT 'L' || l_orderkey AS table_id, CAST(l_linenumber - 1 AS INTEGER) AS row_idx, 'part ' || min(l_partkey) AS description, CAST(CAST(min(l_quantity) AS BIGINT) AS VARCHAR) AS q, CAST(CAST(round(min(l_extendedprice)) AS BIGINT) AS VARCHAR) || ',50 €' AS t FROM lineitem GROUP BY l_orderkey, l_linenumber)"
 
 
 def invoice_cells(spark, d):
@@ -263,7 +263,7 @@ def invoice_line_items(spark, d):
     return I.line_items(invoice_cells(spark, d).filter("table_id like 'L%'")).select("table_id", "row_idx", "description", "quantity", "total")
 
 
-@register("invoice_table_roles", "SELECT 'L' || l_orderkey AS table_id, 'line_items' AS role FROM lineitem WHERE l_orderkey < 3000 GROUP BY 1 UNION ALL SELECT 'H' || o_orderkey, 'header' FROM orders WHERE o_orderkey < 3000 UNION ALL SELECT 'S' || o_orderkey, 'totals' FROM orders WHERE o_orderkey < 3000")
+@register("invoice_table_roles", "SELECT 'L' || l_orderkey AS table_id, 'line_items' AS role FROM lineitem GROUP BY 1 UNION ALL SELECT 'H' || o_orderkey, 'header' FROM orders UNION ALL SELECT 'S' || o_orderkey, 'totals' FROM orders")
 def invoice_table_roles(spark, d):
     return I.table_names(invoice_cells(spark, d)).select("table_id", I.invoice_role(F.col("names"), F.col("n_rows")).alias("role"))
 
@@ -274,22 +274,22 @@ def technical_table_roles(spark, d):
 
 
 @register("invoice_totals", """SELECT 'S' || o_orderkey AS table_id, l.label, CASE l.label WHEN 'total_ht' THEN CAST(o_totalprice AS BIGINT) WHEN 'tax' THEN CAST(o_totalprice AS BIGINT) // 5 ELSE CAST(o_totalprice AS BIGINT) * 6 // 5 + 0.25 END AS amount FROM
-(SELECT o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders WHERE o_orderkey < 3000), (VALUES ('total_ht'), ('tax'), ('total_ttc')) AS l(label)""", doubles=("amount",))
+(SELECT o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders), (VALUES ('total_ht'), ('tax'), ('total_ttc')) AS l(label)""", doubles=("amount",))
 def invoice_totals(spark, d):
     return I.totals(invoice_cells(spark, d).filter("table_id like 'S%' and col_idx > 0"))
 
 
-@register("invoice_header_fields", "SELECT 'H' || o_orderkey AS table_id, f AS field, CASE f WHEN 'invoice_number' THEN 'FA-' || o_orderkey WHEN 'invoice_date' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'C' || o_custkey END AS value FROM orders, (VALUES ('invoice_number'), ('invoice_date'), ('client_name')) AS x(f) WHERE o_orderkey < 3000")
+@register("invoice_header_fields", "SELECT 'H' || o_orderkey AS table_id, f AS field, CASE f WHEN 'invoice_number' THEN 'FA-' || o_orderkey WHEN 'invoice_date' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'C' || o_custkey END AS value FROM orders, (VALUES ('invoice_number'), ('invoice_date'), ('client_name')) AS x(f)")
 def invoice_header_fields(spark, d):
     return I.first_row_fields(invoice_cells(spark, d).filter("table_id like 'H%'"), I.HEADER_FIELDS)
 
 
-@register("invoice_assembly", f"WITH {_LI} SELECT 'F' || o_orderkey AS doc_id, coalesce(n, 0) AS item_count, coalesce(s, 0.0) AS total_amount, 'FA-' || o_orderkey AS invoice_number FROM orders LEFT JOIN (SELECT substr(table_id, 2) AS k, count(*) AS n, sum(CAST(replace(replace(t, ' €', ''), ',', '.') AS DOUBLE)) AS s FROM li GROUP BY 1) ON k = CAST(o_orderkey AS VARCHAR) WHERE o_orderkey < 3000")
+@register("invoice_assembly", f"WITH {_LI} SELECT 'F' || o_orderkey AS doc_id, coalesce(n, 0) AS item_count, coalesce(s, 0.0) AS total_amount, 'FA-' || o_orderkey AS invoice_number FROM orders LEFT JOIN (SELECT substr(table_id, 2) AS k, count(*) AS n, sum(CAST(replace(replace(t, ' €', ''), ',', '.') AS DOUBLE)) AS s FROM li GROUP BY 1) ON k = CAST(o_orderkey AS VARCHAR)")
 def invoice_assembly(spark, d):
     return I.assemble(invoice_cells(spark, d)).select("doc_id", "item_count", "total_amount", F.try_element_at("header", F.lit("invoice_number")).alias("invoice_number"))
 
 
-@register("invoice_reference", "SELECT 'F' || o_orderkey AS doc_id, 'FA-' || o_orderkey AS reference FROM orders WHERE o_orderkey < 3000 AND o_orderkey >= 10")
+@register("invoice_reference", "SELECT 'F' || o_orderkey AS doc_id, 'FA-' || o_orderkey AS reference FROM orders WHERE o_orderkey >= 10")
 def invoice_reference(spark, d):
     c = invoice_cells(spark, d).filter("table_id like 'H%'").withColumn("col_name", F.when(F.col("col_idx") == 0, "Numéro").otherwise(F.col("col_name")))
     return I.reference(c)

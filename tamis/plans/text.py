@@ -10,13 +10,13 @@ from tamis.functions import text as T
 from tamis.operators.retrieval import top_k
 from tamis.sources.tables import table
 
-#: A text with headers, markers and actions around a document's first characters; the same expression runs in both engines.
+#: A text with headers, markers and actions around a document's text; the same expression runs in both engines.
 _MADE = """concat(CASE doc_id % 4 WHEN 0 THEN 'CMA' || doc_id || '_REV' || (doc_id % 30) || chr(10) WHEN 1 THEN '=== Page 3 ===' || chr(10) ELSE '' END,
- 'Pour commencer ' || lang || chr(10), CASE WHEN doc_id % 3 = 0 THEN '1) Ouvrir la page' || chr(10) || 'puis cliquez ici' || chr(10) ELSE '' END, replace(substr(text, 1, 300), chr(10), ' '), chr(10),
+ 'Pour commencer ' || lang || chr(10), CASE WHEN doc_id % 3 = 0 THEN '1) Ouvrir la page' || chr(10) || 'puis cliquez ici' || chr(10) ELSE '' END, replace(text, chr(10), ' '), chr(10),
  CASE WHEN doc_id % 5 = 0 THEN '2. Fermer' || chr(10) || chr(10) || chr(10) ELSE '' END, '  - fin   du texte  ', chr(10), CASE WHEN doc_id % 7 = 0 THEN 'Historique des révisions v' || doc_id ELSE 'Page 1 sur 9' END)"""
 _MADE_SPARK = _MADE
 _ASK = """CASE doc_id % 9 WHEN 0 THEN 'Comment créer une commande ?' WHEN 1 THEN 'cela ?' WHEN 2 THEN 'Pourquoi cette erreur dans ' || source || ' ?' WHEN 3 THEN 'différence entre ' || lang || ' et Module.Sous.Vue'
- WHEN 4 THEN 'est-ce que la configuration est possible' WHEN 5 THEN '?' WHEN 6 THEN 'Modifier la mise à jour de sécurité et performance de installation' WHEN 7 THEN 'ab ?' ELSE 'voir ' || substr(text, 1, 40) END"""
+ WHEN 4 THEN 'est-ce que la configuration est possible' WHEN 5 THEN '?' WHEN 6 THEN 'Modifier la mise à jour de sécurité et performance de installation' WHEN 7 THEN 'ab ?' ELSE 'voir ' || text END"""
 
 
 def made(spark, d):
@@ -195,13 +195,13 @@ _NAME = "CASE doc_id % 7 WHEN 0 THEN 'Mistral-7B' WHEN 1 THEN 'mixtral-8x7b' WHE
 _FAM = "CASE doc_id % 7 WHEN 1 THEN 'mixtral' WHEN 2 THEN 'llama' WHEN 3 THEN 'mt5' WHEN 4 THEN 't5' WHEN 5 THEN 'falcon' ELSE 'mistral' END"
 
 
-@register("prompt_templates", f"""SELECT doc_id, {_FAM} AS family, CASE {_FAM} WHEN 'mistral' THEN '[INST] ' || c || ' [/INST]' WHEN 'mixtral' THEN '<s><|user|>' || c || '</s>' WHEN 'llama' THEN '[INST]' || c || '[/INST]' WHEN 'falcon' THEN 'User: ' || c || chr(10) ELSE 'question: ' || c END AS prompt FROM (SELECT doc_id, substr(text, 1, 30) AS c FROM documents)""")
+@register("prompt_templates", f"""SELECT doc_id, {_FAM} AS family, CASE {_FAM} WHEN 'mistral' THEN '[INST] ' || c || ' [/INST]' WHEN 'mixtral' THEN '<s><|user|>' || c || '</s>' WHEN 'llama' THEN '[INST]' || c || '[/INST]' WHEN 'falcon' THEN 'User: ' || c || chr(10) ELSE 'question: ' || c END AS prompt FROM (SELECT doc_id, text AS c FROM documents)""")
 def prompt_templates(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", C.model_family(F.expr(_NAME)).alias("family"), F.substring("text", 1, 30).alias("c"))
+    rows = table(spark, d, "documents").select("doc_id", C.model_family(F.expr(_NAME)).alias("family"), F.col("text").alias("c"))
     return rows.select("doc_id", "family", C.format_message(F.col("family"), F.lit("user"), F.col("c")).alias("prompt"))
 
 
-_MSG = "'<s>[INST] ' || substr(text, 1, 20) || ' [/INST]' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '[RESPONSE_TYPE]x' || chr(10) || 'y[/RESPONSE_TYPE]  ' || substr(text, 21, 30) || '   [CONTEXT]z[/CONTEXT]</s>' END"
+_MSG = "'<s>[INST] ' || lang || ' [/INST]' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '[RESPONSE_TYPE]x' || chr(10) || 'y[/RESPONSE_TYPE]  ' || text || '   [CONTEXT]z[/CONTEXT]</s>' END"
 _SP = "[ \\t\\n\\r]+"
 
 
@@ -224,9 +224,9 @@ def conversation_prompts(spark, d):
     return rows.select("conv_id", "turn", C.pair_text(F.col("text"), F.col("a")).alias("pair"))
 
 
-@register("summary_inputs", """SELECT source AS app, substr(string_agg('[Source: ' || lang || ']' || chr(10) || trim(substr(text, 1, 100)), chr(10) || '---' || chr(10) ORDER BY doc_id), 1, 1024) AS summary_input FROM documents WHERE trim(substr(text, 1, 100)) <> '' GROUP BY 1""")
+@register("summary_inputs", """SELECT source AS app, substr(string_agg('[Source: ' || lang || ']' || chr(10) || trim(text), chr(10) || '---' || chr(10) ORDER BY doc_id), 1, 1024) AS summary_input FROM documents WHERE trim(text) <> '' GROUP BY 1""")
 def summary_inputs(spark, d):
-    rows = table(spark, d, "documents").select(F.col("source").alias("app"), "doc_id", F.col("lang").alias("application"), F.substring("text", 1, 100).alias("content"))
+    rows = table(spark, d, "documents").select(F.col("source").alias("app"), "doc_id", F.col("lang").alias("application"), F.col("text").alias("content"))
     return T.summary_input(rows, "app")
 
 
