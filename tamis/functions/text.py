@@ -176,6 +176,8 @@ def summary_input(docs: DataFrame, group: str, limit: int = 1024) -> DataFrame:
     w = Window.partitionBy(group).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     text = F.concat(F.lit("[Source: "), F.coalesce("application", F.lit("unknown")), F.lit("]\n"), F.trim("content"))
     rows = docs.filter(F.trim("content") != "").select(group, "doc_id", F.substring(text, 1, limit).alias("x"))
+    # a document takes 17 characters at least, so later ones can't show: ranks are cut within tasks, before a large group moves
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("doc_id"))).filter(F.col("rank") <= limit // 17 + 1)
     rows = rows.withColumn("before", F.coalesce(F.sum(F.length("x") + 5).over(w), F.lit(0))).filter(F.col("before") < limit)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "x"))), lambda s: s["x"])
     return rows.groupBy(group).agg(F.substring(F.array_join(listed, "\n---\n"), 1, limit).alias("summary_input"))

@@ -6,8 +6,10 @@ row is cut down to its matching terms in one narrow pass, and only those travel
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from tamis.functions.vectors import cosine
 K1, B = 1.2, 0.75
 #: Queries scored in one plan; their terms are a literal of the scan's projection.
 MAX_QUERIES = 10_000
+#: Query vectors broadcast at once.
+BLOCK_QUERIES = 4096
 # Default limits and weights of the strategies.
 MAX_DOCS, MIN_SCORE = 20, 0.3
 RAG_WEIGHTS = {"vector": 0.7, "semantic": 0.3}
@@ -135,6 +139,82 @@ def vector_top_k(docs: DataFrame, query: list[float], k: int, measure: Callable[
     return top_k(docs.withColumn("score", measure(F.col(vec), q)), k, [F.desc("score"), F.asc(key)])
 
 
+def query_blocks(queries: DataFrame, block_rows: int = BLOCK_QUERIES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Query ids and vectors in blocks of at most ``block_rows``; the driver holds one block at a time."""
+    ids: list[int] = []
+    vectors: list[list[float]] = []
+    for r in queries.select("query_id", "q").toLocalIterator():
+        ids.append(r["query_id"])
+        vectors.append(r["q"])
+        if len(ids) == block_rows:
+            yield np.array(ids, np.int64), np.array(vectors, np.float64)
+            ids, vectors = [], []
+    if ids:
+        yield np.array(ids, np.int64), np.array(vectors, np.float64)
+
+
+def _measure(x: np.ndarray, q: np.ndarray, measure: str) -> np.ndarray:
+    """Queries x rows. Cosine is 0 beside a zero vector."""
+    if measure == "l2":
+        out = np.empty((len(q), len(x)))
+        for i, v in enumerate(q):
+            out[i] = 1.0 - np.sqrt(((x - v) ** 2).sum(axis=1))
+        return out
+    n = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+    return np.divide(q @ x.T, n, out=np.zeros_like(n), where=n > 0) + (1.0 if measure == "script" else 0.0)
+
+
+def search_blocks(docs: DataFrame, queries: DataFrame, k: int, measure: str = "cosine", places: int = 6, min_score: float | None = None, others: bool = False, group: str | None = None, weight: tuple[float, str, float] | None = None, block_rows: int = BLOCK_QUERIES) -> DataFrame:
+    """query_id, (group,) doc_id, score: the best ``k`` rows of (doc_id, embedding) for every query (query_id, q), by cosine, script or l2.
+
+    Queries are broadcast in blocks of at most ``block_rows`` vectors, however many there are. A block meets every
+    Arrow batch of the corpus as one matrix product, of which only rows that can still be among the best ``k`` leave
+    the task, and these are ranked after the shuffle. ``min_score`` is exclusive; ``others`` leaves out the query's own
+    row; ``group`` ranks within each value of a column; ``weight`` (w, column, v) scores w x measure + v x column.
+    Rows without an embedding match nothing; ties go to the lesser id.
+    """
+    extra = [c for c in (group, weight and weight[1]) if c]
+    rows = docs.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding", *dict.fromkeys(extra))
+    names = ["query_id", "doc_id", "score", *([group] if group else [])]
+    kind = f", {group} {docs.schema[group].dataType.simpleString()}" if group else ""
+
+    def kernel(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                doc = b.column(0).to_numpy(zero_copy_only=False)
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(doc), -1)
+                score = _measure(x, q, measure)
+                if weight:
+                    score = weight[0] * score + weight[2] * b.column(weight[1]).to_numpy(zero_copy_only=False)[None, :]
+                score = np.round(score, places)
+                if min_score is not None:
+                    score = np.where(score > min_score, score, -np.inf)
+                if others:
+                    score = np.where(doc[None, :] != ids[:, None], score, -np.inf)
+                of = b.column(group).to_numpy(zero_copy_only=False) if group else np.zeros(len(doc), np.int64)
+                for g in np.unique(of):
+                    at = np.flatnonzero(of == g)
+                    own = score[:, at]
+                    least = np.partition(own, -k, axis=1)[:, -k][:, None] if len(at) > k else -np.inf
+                    i, j = np.nonzero((own >= least) & (own > -np.inf))
+                    if len(i):
+                        cols = [pa.array(ids[i]), pa.array(doc[at[j]]), pa.array(own[i, j])]
+                        yield pa.RecordBatch.from_arrays(cols + ([b.column(group).take(pa.array(at[j]))] if group else []), names=names)
+
+        return run
+
+    found = None
+    for block in query_blocks(queries, block_rows):
+        part = rows.mapInArrow(kernel(docs.sparkSession.sparkContext.broadcast(block)), "query_id long, doc_id long, score double" + kind)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double" + kind)
+    return top_k(found, k, [F.desc("score"), F.asc("doc_id")], ["query_id", *([group] if group else [])]).drop("rank")
+
+
 def rag_score(vector_score: Column, semantic_score: Column, weights: dict[str, float] = RAG_WEIGHTS) -> Column:
     return weights["vector"] * vector_score + weights["semantic"] * semantic_score
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tamis.catalog import register
 from tamis.functions.analyzer import ascii_tokens
-from tamis.functions.vectors import cosine, l2, l2_similarity, script_score
+from tamis.functions.vectors import cosine, l2
 from tamis.operators import retrieval as R
 from tamis.sources.tables import table
 
 QUERIES = [("q1", "the and of"), ("q2", "de la"), ("q3", "thea re"), ("q4", "zzz")]
 _VALUES = ", ".join(f"('{i}', '{q}')" for i, q in QUERIES)
-#: Query vectors are taken from the table itself.
-PROBES = (0, 7, 42)
+#: Every row whose id is divisible by this is a query vector, against all rows.
+EVERY = 20
 _CORPUS = "SELECT doc_id, substr(text, 1, 50) AS title, text AS content FROM documents"
 
 
@@ -27,62 +27,57 @@ def asked(spark: SparkSession) -> DataFrame:
 
 
 def probes(spark: SparkSession, d: str) -> DataFrame:
-    """A handful of query vectors, broadcast beside the scan."""
-    return table(spark, d, "embeddings").filter(F.col("vec_id").isin(*PROBES)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    """The stated query set."""
+    return table(spark, d, "embeddings").filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
 
 
 _COS = "list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
 _L2 = "list_distance(a.embedding::DOUBLE[], q.embedding::DOUBLE[])"
-_IN = f"({', '.join(map(str, PROBES))})"
 
 
-def _vectors(spark: SparkSession, d: str, measure, k: int, keep=None) -> DataFrame:
-    rows = table(spark, d, "embeddings").join(F.broadcast(probes(spark, d)))
-    rows = rows.select("query_id", F.col("vec_id").alias("doc_id"), "label", F.round(measure(F.col("embedding"), F.col("q")), 6).alias("score"))
-    if keep is not None:
-        rows = rows.filter(keep)
-    return R.top_k(rows, k, [F.desc("score"), F.asc("doc_id")], ["query_id"]).select("query_id", "doc_id", "score")
+def _vectors(spark: SparkSession, d: str, measure: str, k: int, **more) -> DataFrame:
+    return R.search_blocks(vectors(spark, d), probes(spark, d), k, measure, **more)
 
 
-def _vector_sql(expr: str, k: int, keep: str = "true", direction: str = "DESC") -> str:
-    return f"""SELECT query_id, doc_id, score FROM (
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {direction}, doc_id) AS rn FROM (
-SELECT q.vec_id AS query_id, a.vec_id AS doc_id, a.label, round({expr}, 6) AS score FROM embeddings a, embeddings q WHERE q.vec_id IN {_IN}) WHERE {keep}) WHERE rn <= {k}"""
+def _vector_sql(expr: str, k: int, keep: str = "true", by: str = "query_id", places: int = 6) -> str:
+    return f"""SELECT {by}, doc_id, score FROM (
+SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, doc_id) AS rn FROM (
+SELECT q.vec_id AS query_id, a.vec_id AS doc_id, a.label, round({expr}, {places}) AS score FROM embeddings a, embeddings q WHERE q.vec_id % {EVERY} = 0) WHERE {keep}) WHERE rn <= {k}"""
 
 
 @register("vector_topk_cosine", _vector_sql(_COS, 10))
 def vector_topk_cosine(spark, d):
-    return _vectors(spark, d, cosine, 10)
+    return _vectors(spark, d, "cosine", 10)
 
 
 @register("vector_script_score", _vector_sql(f"{_COS} + 1.0", 10))
 def vector_script_score(spark, d):
-    return _vectors(spark, d, script_score, 10)
+    return _vectors(spark, d, "script", 10)
 
 
 @register("vector_topk_l2", _vector_sql(f"1 - {_L2}", 10))
 def vector_topk_l2(spark, d):
-    return _vectors(spark, d, l2_similarity, 10)
+    return _vectors(spark, d, "l2", 10)
 
 
 @register("similar_questions_threshold", _vector_sql(f"1 - {_L2}", 5, "score > -0.2 AND doc_id <> query_id"))
 def similar_questions_threshold(spark, d):
-    return _vectors(spark, d, l2_similarity, 5, (F.col("score") > -0.2) & (F.col("doc_id") != F.col("query_id")))
+    return _vectors(spark, d, "l2", 5, min_score=-0.2, others=True)
 
 
 @register("vector_metadata_filter", _vector_sql(_COS, 10, "label IN (1, 3)"))
 def vector_metadata_filter(spark, d):
-    rows = R.metadata_filter(table(spark, d, "embeddings"), {"label": [1, 3], "vec_id": None}).join(F.broadcast(probes(spark, d)))
-    rows = rows.select("query_id", F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return R.top_k(rows, 10, [F.desc("score"), F.asc("doc_id")], ["query_id"]).select("query_id", "doc_id", "score")
+    rows = R.metadata_filter(vectors(spark, d), {"label": [1, 3], "doc_id": None})
+    return R.search_blocks(rows, probes(spark, d), 10)
 
 
-@register("per_label_topk", f"""SELECT label, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, doc_id) AS rn FROM (
-SELECT a.label, a.vec_id AS doc_id, round({_COS}, 6) AS score FROM embeddings a, embeddings q WHERE q.vec_id = 0)) WHERE rn <= 3""")
+@register("per_label_topk", _vector_sql(_COS, 3, by="query_id, label"))
 def per_label_topk(spark, d):
-    q = probes(spark, d).filter("query_id = 0")
-    rows = table(spark, d, "embeddings").join(F.broadcast(q)).select("label", F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return R.top_k(rows, 3, [F.desc("score"), F.asc("doc_id")], ["label"]).select("label", "doc_id", "score")
+    return _vectors(spark, d, "cosine", 3, group="label")
 
 
 @register("pair_similarity", f"""SELECT a.vec_id AS left_id, q.vec_id AS right_id, round({_COS}, 6) AS cosine, round({_L2}, 6) AS distance
@@ -97,7 +92,7 @@ def pair_similarity(spark, d):
 @register("score_normalise", f"""SELECT query_id, doc_id, score, round(score / coalesce(nullif(max(score) OVER (PARTITION BY query_id), 0), 1), 6) AS norm_score FROM (
 {_vector_sql(f'{_COS} + 1.0', 25)})""")
 def score_normalise(spark, d):
-    return R.normalise(_vectors(spark, d, script_score, 25), ["query_id"]).withColumn("norm_score", F.round("norm_score", 6))
+    return R.normalise(_vectors(spark, d, "script", 25), ["query_id"]).withColumn("norm_score", F.round("norm_score", 6))
 
 
 def _bm25_sql(all_terms: bool, boost: float, fields: str = "('title'), ('content')") -> str:
@@ -158,34 +153,31 @@ def search_filtered_sorted(spark, d):
     return R.top_k(rows, 10, [F.desc("score"), F.desc("doc_id")], ["query_id"]).select("query_id", "doc_id", "score", "lang")
 
 
-#: rag branch: half the rows scored by one probe; semantic branch: another half by another.
-_RAG = f"SELECT 'h' AS query_id, a.vec_id AS doc_id, round(0.7 * ({_COS}) + 0.3 * a.label / 10.0, 4) AS score FROM embeddings a, embeddings q WHERE q.vec_id = 0 AND a.vec_id % 3 <> 0"
-_SEM = f"SELECT 'h' AS query_id, a.vec_id AS doc_id, round({_COS}, 4) AS score FROM embeddings a, embeddings q WHERE q.vec_id = 7 AND a.vec_id % 2 = 0"
-
-
-def _branch(spark, d, probe: int, keep: str, score) -> DataFrame:
-    q = probes(spark, d).filter(F.col("query_id") == probe).select("q")
-    rows = table(spark, d, "embeddings").filter(keep).join(F.broadcast(q))
-    return rows.select(F.lit("h").alias("query_id"), F.col("vec_id").alias("doc_id"), F.round(score(cosine(F.col("embedding"), F.col("q"))), 4).alias("score"))
+#: Both branches ask every query of all rows; each keeps its best, by its own score.
+BRANCH = 40
+_RAG = _vector_sql(f"0.7 * ({_COS}) + 0.3 * (a.label / 10.0)", BRANCH, places=4)
+_SEM = _vector_sql(f"1 - {_L2}", BRANCH, "score > -0.4", places=4)
 
 
 def _branches(spark, d) -> tuple[DataFrame, DataFrame]:
-    rag = _branch(spark, d, 0, "vec_id % 3 <> 0", lambda c: R.rag_score(c, F.col("label") / 10.0))
-    return rag, _branch(spark, d, 7, "vec_id % 2 = 0", lambda c: c)
+    rows = vectors(spark, d).withColumn("meaning", F.col("label") / 10.0)
+    w = R.RAG_WEIGHTS
+    rag = R.search_blocks(rows, probes(spark, d), BRANCH, places=4, weight=(w["vector"], "meaning", w["semantic"]))
+    return rag, _vectors(spark, d, "l2", BRANCH, places=4, min_score=-0.4)
 
 
-@register("rag_weighted_score", f"SELECT doc_id, score FROM ({_RAG}) ORDER BY score DESC, doc_id LIMIT 20")
+@register("rag_weighted_score", _RAG)
 def rag_weighted_score(spark, d):
-    return R.top_k(_branches(spark, d)[0].select("doc_id", "score"), 20, [F.desc("score"), F.asc("doc_id")])
+    return _branches(spark, d)[0]
 
 
 def _fuse_sql(both: str) -> str:
-    return f"""SELECT doc_id, round(CASE WHEN r.score IS NOT NULL AND s.score IS NOT NULL THEN {both} ELSE coalesce(r.score, s.score) END, 6) AS score
-FROM ({_RAG}) r FULL JOIN ({_SEM}) s USING (doc_id)"""
+    return f"""SELECT query_id, doc_id, round(CASE WHEN r.score IS NOT NULL AND s.score IS NOT NULL THEN {both} ELSE coalesce(r.score, s.score) END, 6) AS score
+FROM ({_RAG}) r FULL JOIN ({_SEM}) s USING (query_id, doc_id)"""
 
 
 def _fused(spark, d, method: str) -> DataFrame:
-    return R.fuse(*_branches(spark, d), method).select("doc_id", F.round("score", 6).alias("score"))
+    return R.fuse(*_branches(spark, d), method).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @register("hybrid_weighted_sum", _fuse_sql("0.5 * r.score + 0.5 * s.score"))
@@ -203,14 +195,13 @@ def hybrid_average(spark, d):
     return _fused(spark, d, "average")
 
 
-@register("block_rerank", f"""WITH b AS (SELECT a.vec_id % 5 AS query_id, a.vec_id AS doc_id, round({_COS}, 6) AS score, a.label / 10.0 AS cos FROM embeddings a, embeddings q WHERE q.vec_id = 42 AND a.vec_id < 100),
+@register("block_rerank", f"""WITH b AS (SELECT t.*, e.label / 10.0 AS cos FROM ({_vector_sql(_COS, BRANCH)}) t JOIN embeddings e ON e.vec_id = t.doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM b),
 c AS (SELECT *, (rn - 1) // 3 AS block, 0.7 * score + 0.3 * cos AS context FROM r)
 SELECT query_id, doc_id, score, CAST(rn AS BIGINT) AS old_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY block, round(context, 9) DESC, rn) AS BIGINT) AS new_rank FROM c""")
 def block_rerank(spark, d):
-    q = probes(spark, d).filter("query_id = 42").select("q")
-    rows = table(spark, d, "embeddings").filter("vec_id < 100").join(F.broadcast(q))
-    rows = rows.select((F.col("vec_id") % 5).alias("query_id"), F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"), (F.col("label") / 10.0).alias("cos"))
+    found = _vectors(spark, d, "cosine", BRANCH)  # the best of all rows for every query
+    rows = found.join(vectors(spark, d).select("doc_id", (F.col("label") / 10.0).alias("cos")), "doc_id")
     out = R.block_rerank(rows)
     return out.select("query_id", "doc_id", "score", F.col("rn").cast("long").alias("old_rank"), F.col("new_rank").cast("long").alias("new_rank"))
 
