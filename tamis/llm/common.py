@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,29 +11,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch handed to Python; documents can be long, so batches are kept short.
-ROWS_PER_BATCH = 1000
 #: Text bytes that a Python stage works on at once (a single longer document is taken alone).
 SLICE_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One input table, through Spark's own reader (paths may be in any Hadoop-readable store)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@functools.cache
+def _local_base() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tamis-')}"
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests, a single machine) a local folder is chosen and set.
+    Only on a single machine, where that setting is absent, a local folder is chosen. On a cluster the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tamis-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _local_base()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -59,6 +63,35 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def apart(counts: DataFrame) -> DataFrame:
+    """Aggregated keys dealt evenly, off their aggregation's partitioning.
+
+    A join to an aggregate on the same keys would reuse its partitioning, and Spark could not split a hot key's rows on
+    the other side; with an exchange of its own on either side it can. These rows are distinct keys, so they are few.
+    """
+    return counts.repartition(max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """Columns renamed to c0, c1, ...: clashing, dotted or reserved names are out of the way."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def named_again(df: DataFrame, names: list[str]) -> DataFrame:
+    """Undoes :func:`plain_names`; further columns go."""
+    return df.select(*(F.col(f"c{i}") for i in range(len(names)))).toDF(*names)
+
+
+def whole_row_key(df: DataFrame, seed: str) -> Column:
+    """64-bit key over all columns; types that Spark can't hash (maps) count by their JSON."""
+    cols = []
+    for i, f in enumerate(df.schema.fields):
+        kind = f.dataType.simpleString()
+        c = F.col(df.columns[i])
+        cols.append(F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c)
+    return F.xxhash64(F.lit(seed), *cols)
+
+
 def crc_of_id(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))

@@ -2,6 +2,7 @@
 
 Each round is two grouped minimums with their joins; states are written to the shared folder, so lineage stays
 short and lost executors cost no recomputation. Edges never reach the driver, only a count and a checksum.
+Minimums are dealt apart before they are joined, so Spark can split the arcs of a component's root.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize
+from .common import apart, drop, materialize
 
 #: Far above what the steps need (about the logarithm of the longest path); a safeguard against an endless loop.
 MAX_ROUNDS = 60
@@ -20,10 +21,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         arcs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return arcs.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        return arcs.filter("v > u").join(apart(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    links = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    links = down.join(apart(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return links.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 

@@ -3,14 +3,15 @@
 Fingerprints. Words and shingles follow ASCII white space; a fingerprint bit is the majority of that bit over the
 XXH64 values of all shingles, repeats included.
 
-Links. Only distinct fingerprints are compared. Cut into ``radius + 2`` blocks, two linked fingerprints agree on at
-least two blocks, so each fingerprint is dealt once for every pair of blocks, keyed by their bits. Fingerprints
-sharing a key form a shard tree: a BK-tree whose children are keyed by the integer Hamming distance to their parent;
-a query follows only edges within the radius of its own distance. The trees grow with the corpus, so they are not
-broadcast: tree and queries of a key meet in one task by the shuffle. A key with more than ``LIMIT`` fingerprints
-is dealt again by the bits outside it, cut into radius + 1 blocks of which linked fingerprints share one, so no
-task holds more than a bounded share of a hot key; nothing is dropped. Per tree only the links of a spanning
-forest leave the task, which is all that components need.
+Links. Only distinct fingerprints are compared. Cut into ``radius + 1`` blocks, two linked fingerprints agree on one
+block at least, so each fingerprint is dealt once per block, keyed by the block's first bits: as many as make shards
+of about ``TREE`` fingerprints. Every shard is a BK-tree, whose children are keyed by the integer Hamming distance to
+their parent; a query follows only edges within the radius of its own distance. A shard with more than ``LIMIT``
+fingerprints is dealt again, by the bits that its key leaves open, cut into ``radius + 1`` blocks once more, and so on;
+after a few deals so few bits are open that no shard can be larger, so the bound holds for any data and nothing is
+dropped. The trees hold the fingerprints of all documents, so they are not broadcast (that would pass through the
+driver): a shard's tree and queries meet in one task by the shuffle. Per tree only the links of a spanning forest
+leave the task, which is all that components need.
 
 Components come from :mod:`tamis.llm.graph`; a class of equal fingerprints is one node, so copies are never paired.
 """
@@ -18,7 +19,7 @@ Components come from :mod:`tamis.llm.graph`; a class of equal fingerprints is on
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, slices
+from .common import apart, materialize, named_again, plain_names, read, slices, whole_row_key
 from .graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: Fingerprints of one key beyond which the key is dealt again.
-LIMIT = 4096
+#: Fingerprints of a shard tree on average, and beyond which a shard is dealt again (a power of two).
+TREE, LIMIT = 2048, 1 << 14
 #: Fingerprint rows per task of the tree stage, for choosing its number of tasks.
 ROWS_PER_TASK = 60_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -51,18 +52,25 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def memo(k: int):
+    """:func:`fingerprint` that reads equal texts once, for one slice of rows."""
+    seen: dict[str | None, int] = {}
+
+    def of(text: str | None) -> int:
+        if text not in seen:
+            seen[text] = fingerprint(text, k)
+        return seen[text]
+
+    return of
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                seen: dict[str | None, int] = {}
-                texts = batch.column("text").to_pylist()
-                for t in texts:
-                    if t not in seen:
-                        seen[t] = fingerprint(t, k)
-                fp = np.fromiter((seen[t] for t in texts), np.uint64, len(texts)).view(np.int64)
+                fp = np.fromiter(map(memo(k), batch.column("text").to_pylist()), np.uint64, batch.num_rows).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -88,7 +96,10 @@ class BkTree:
                 todo.append((int(part[0]), part[1:]))
 
     def links(self, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        """For every node: the higher-numbered nodes within ``radius``. All values descend together as queries."""
+        """For every node: the higher-numbered nodes within ``radius``. All values descend together as queries.
+
+        A child has the least number of its subtree, so queries below it have nothing to find there.
+        """
         todo = [(0, np.arange(len(self.values)))] if len(self.values) else []
         while todo:
             node, queries = todo.pop()
@@ -97,30 +108,29 @@ class BkTree:
             if len(near):
                 yield node, near
             for edge, child in self.children[node]:
-                go = queries[np.abs(d - edge) <= radius]
+                go = queries[(np.abs(d - edge) <= radius) & (queries > child - 1)]
                 if len(go):
                     todo.append((child, go))
 
 
 def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the graph of values within ``radius``, as index pairs."""
-    if len(values) == 2:
-        return [(0, 1)] if bin(int(values[0] ^ values[1])).count("1") <= radius else []
-    root = list(range(len(values)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    label = np.arange(len(values))
+    members: dict[int, list[np.ndarray]] = {}
+    size = np.ones(len(values), np.int64)
     out = []
     for a, near in BkTree(values).links(radius):
-        for b in near.tolist():
-            x, y = find(a), find(b)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((a, b))
+        open_ = near[label[near] != label[a]]
+        while len(open_):  # one link per component met; the smaller takes the larger's label
+            b = int(open_[0])
+            keep, gone = (label[a], label[b]) if size[label[a]] >= size[label[b]] else (label[b], label[a])
+            moved = members.pop(int(gone), [np.array([gone])])
+            members.setdefault(int(keep), [np.array([keep])]).extend(moved)
+            for m in moved:
+                label[m] = keep
+            size[keep] += size[gone]
+            out.append((a, b))
+            open_ = open_[label[open_] != label[a]]
     return out
 
 
@@ -155,40 +165,64 @@ def _trees(radius: int):
     return run
 
 
-def block_widths(n_bits: int, n: int) -> list[tuple[int, int]]:
-    """(shift, width) of ``n`` blocks that cover ``n_bits`` bits."""
-    edges = [n_bits * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def deals(fixed: int, radius: int, bits: int | None = None) -> list[int]:
+    """Masks of further deals of fingerprints that agree on the bits of the mask ``fixed``.
+
+    The open bits are cut into ``radius + 1`` blocks; a mask adds one block's bits (its first ``bits``, if given) to ``fixed``.
+    """
+    free = [i for i in range(64) if not fixed >> i & 1]
+    out = []
+    for k in range(radius + 1):
+        block = free[len(free) * k // (radius + 1) : len(free) * (k + 1) // (radius + 1)]
+        out.append(fixed | sum(1 << i for i in block[:bits]))
+    return out
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def shards(distinct: DataFrame, n: int, radius: int = RADIUS, tree: int = TREE, limit: int = LIMIT) -> DataFrame:
+    """Rows (mask, key, fp): fingerprints dealt so that linked ones meet in a shard (mask, key) of at most ``limit``."""
+    spark = distinct.sparkSession
+    least = max(radius + 1, limit.bit_length() - 1)  # so few open bits that a shard can't pass the limit
+    bits = min(64 // (radius + 1), max(1, ceil(log2(max(n, 2) / tree)))) if n > tree else 0
+    masks = deals(0, radius, bits) if bits else [0]
+
+    def deal(rows: DataFrame, table: list[tuple[int, int]]) -> DataFrame:
+        pairs = spark.createDataFrame([(_signed(a), _signed(b)) for a, b in table], "old long, new long")
+        joined = rows.join(F.broadcast(pairs), F.col("mask") == F.col("old"))
+        return joined.select(F.col("new").alias("mask"), F.col("fp").bitwiseAND(F.col("new")).alias("key"), "fp")
+
+    open_ = deal(distinct.select(F.lit(0).cast("long").alias("mask"), "fp"), [(0, m) for m in masks])
+    done = []
+    while True:
+        hot = open_.groupBy("mask", "key").agg(F.count("*").alias("size")).filter(F.col("size") > limit).select("mask", "key")
+        hot = materialize(hot, "hot")
+        masks = [m for m in masks if 64 - m.bit_count() > least]
+        if not masks or hot.isEmpty():
+            break
+        done.append(open_.join(apart(hot), ["mask", "key"], "left_anti"))
+        table = [(m, x) for m in masks for x in deals(m, radius)]
+        open_ = materialize(deal(open_.join(apart(hot), ["mask", "key"], "left_semi"), table), "dealt")
+        masks = sorted({x for _, x in table})
+    for part in done:
+        open_ = open_.unionByName(part)
+    return open_
+
+
+def links(distinct: DataFrame, n: int, radius: int = RADIUS, tree: int = TREE, limit: int = LIMIT) -> DataFrame:
     """Enough links (u, v) between distinct fingerprints (column fp, ``n`` of them) within ``radius`` to connect their components."""
-    cuts = block_widths(64, radius + 2)
-    pairs = list(combinations(range(len(cuts)), 2))
-
-    def bits(block: tuple[int, int]):
-        return F.shiftrightunsigned("fp", block[0]).bitwiseAND(F.lit((1 << block[1]) - 1))
-
-    deal = F.array(*(F.struct(F.lit(i).cast("long").alias("p"), F.shiftleft(bits(cuts[a]), cuts[b][1]).bitwiseOR(bits(cuts[b])).alias("key")) for i, (a, b) in enumerate(pairs)))
-    dealt = distinct.select("fp", F.inline(deal))
-    size = dealt.groupBy("p", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    keyed = materialize(dealt.join(size, ["p", "key"]), "keys")  # most keys hold one fingerprint and end here
-    # hot keys once more: the bits outside the key in radius + 1 blocks
-    again = []
-    for i, (a, b) in enumerate(pairs):
-        outside = [s + k for j, (s, w) in enumerate(cuts) if j not in (a, b) for k in range(w)]
-        for q, (s, w) in enumerate(block_widths(len(outside), radius + 1)):
-            own = None
-            for at, bit in enumerate(outside[s : s + w]):
-                x = F.shiftleft(F.shiftrightunsigned("fp", bit).bitwiseAND(F.lit(1)), at)
-                own = x if own is None else own.bitwiseOR(x)
-            again.append(F.when(F.col("p") == i, F.struct(F.lit(q + 1).cast("long").alias("q"), own.alias("sub"))))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("sub")))
-    shards = keyed.select("p", "key", "fp", F.inline(F.when(F.col("size") > limit, F.array_compact(F.array(*again))).otherwise(whole)))
-    tasks = max(1, -(-n * len(pairs) // ROWS_PER_TASK))
-    by = ["p", "key", "q", "sub"]
-    rows = shards.select(*by, "fp").repartition(tasks, *by).sortWithinPartitions(*by)
-    return rows.mapInArrow(_trees(radius), "u long, v long")
+    tasks = max(1, -(-n * (radius + 1) // ROWS_PER_TASK))
+    rows = shards(distinct, n, radius, tree, limit).repartition(tasks, "mask", "key").sortWithinPartitions("mask", "key")
+    return rows.select("mask", "key", "fp").mapInArrow(_trees(radius), "u long, v long")
+
+
+def rooted(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp and the root of its component (a fingerprint) for every distinct fingerprint of ``fps``."""
+    classes = materialize(fps.select("fp").distinct(), "classes")
+    graph = components(links(classes, classes.count(), radius))
+    return materialize(classes.join(graph, classes.fp == graph.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), "named")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
@@ -198,13 +232,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null id take part, and a component of only such rows has a null component_id. An empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, k), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    graph = components(links(classes.select("fp"), classes.count(), radius))
-    # a node's component: the least id over its classes
-    named = classes.join(graph, classes.fp == graph.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "named")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(ids, "root").select("fp", "component_id")
+    named = rooted(fps, radius)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    ids = named.join(apart(least), "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = named.join(apart(ids), "root").select("fp", "component_id")
     return fps.join(by_fp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -212,15 +243,32 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-def keep_one(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the one whose id names the component.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
+    """Keeps one row of each group of near duplicates, with all its columns.
 
-    Rows with a null id are kept (nothing tells them apart); of rows that share a kept id, the least by text, then by
-    the other columns, stays.
+    Rows are judged one by one, whatever ids they share: of a group the row with the least id stays (rows without one
+    come last), of equals the one with the least key of all its columns; rows equal in every column are one.
+    Only keys are grouped; rows move once, to meet them.
     """
-    found = near_duplicates(docs, k=k)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    least = named.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("r"))  # pre-aggregated; on the join's partitioning
-    return least.select("doc_id", "r.*").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    names = docs.columns
+    plain = plain_names(docs)
+    i, t = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    plain = plain.withColumns({"k1": whole_row_key(plain, "a"), "k2": whole_row_key(plain, "b")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                fp = np.fromiter(map(memo(k), batch.column("text").to_pylist()), np.uint64, batch.num_rows).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(fp)], names=["k1", "k2", "id", "fp"])
+
+    kind = plain.schema[i].dataType.simpleString()
+    marks = plain.select("k1", "k2", F.col(i).alias("id"), F.col(t).alias("text")).mapInArrow(run, f"k1 long, k2 long, id {kind}, fp long")
+    marks = materialize(marks, "marks")
+    rows = marks.join(rooted(marks, radius), "fp").groupBy("root", "id", "k1", "k2").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2", "n")).alias("w"))
+    first = materialize(first.select("w.k1", "w.k2", "w.n"), "kept")
+    once = plain.join(apart(first.filter("n = 1").select("k1", "k2")), ["k1", "k2"], "left_semi")
+    cells = F.struct(*(f"c{j}" for j in range(len(names))))
+    several = plain.join(apart(first.filter("n > 1").select("k1", "k2")), ["k1", "k2"], "left_semi")
+    several = several.groupBy("k1", "k2").agg(F.first(cells).alias("r")).select("r.*")  # equal rows
+    return named_again(once, names).unionByName(several.toDF(*names))

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tamis.llm import near_dedup, substring_dedup
 from tamis.llm.graph import components
@@ -61,16 +62,14 @@ def plain_components(rows):
     return sorted((r[0] is None, r[0] or 0, f"{fp[i]:016x}", least[find(i)]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("limit", [4096, 2])
-def test_near_duplicates(spark, make_docs, monkeypatch, limit):
-    monkeypatch.setattr(near_dedup, "LIMIT", limit)
+def test_near_duplicates(spark, make_docs):
     rows = near_corpus()
     got = near_dedup.near_duplicates(make_docs(rows)).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["fingerprint"], r["component_id"]) for r in got) == plain_components(rows)
 
 
-@pytest.mark.parametrize("limit", [4096, 8])
-def test_links_connect_what_brute_force_connects(spark, limit):
+@pytest.mark.parametrize("tree,limit", [(2048, 1 << 14), (64, 256), (16, 8)])
+def test_links_connect_what_brute_force_connects(spark, tree, limit):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 12, dtype=np.uint64)
     fps = {int(b) for b in base}
@@ -82,7 +81,9 @@ def test_links_connect_what_brute_force_connects(spark, limit):
             fps.add(x)
     fps = sorted(fps)
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    got = {r["node"]: r["root"] for r in components(near_dedup.links(df, len(fps), limit=limit)).collect()}
+    sizes = near_dedup.shards(df, len(fps), tree=tree, limit=limit).groupBy("mask", "key").count().collect()
+    assert max(r["count"] for r in sizes) <= limit and (tree > len(fps) or len(sizes) > 3)
+    got = {r["node"]: r["root"] for r in components(near_dedup.links(df, len(fps), tree=tree, limit=limit)).collect()}
     root = {x: x for x in fps}
 
     def find(x):
@@ -105,12 +106,34 @@ def test_bk_tree_links():
     assert got == {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if bin(int(v[i] ^ v[j])).count("1") <= 2}
 
 
+def test_dense_tree_gives_a_spanning_forest():
+    """Everything within the radius of everything: links stay fewer than nodes."""
+    v = np.unique(np.array([(1 << i) | (1 << j) for i in range(40) for j in range(40)] + [0], np.uint64))
+    assert len(near_dedup.spanning_links(v, 4)) == len(v) - 1
+
+
 def test_keep_one(spark, make_docs):
     docs = make_docs([(3, "one two three four"), (2, "one two three four"), (9, "something else entirely here"), (None, "a"), (None, "b"), (2, "one two three four")])
     got = near_dedup.keep_one(docs)
     assert got.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, "a"), (0, "b"), (2, "one two three four"), (9, "something else entirely here")]
 
 
+def test_keep_one_judges_rows_not_ids(spark, make_docs):
+    a, b, c = "one two three four", "something else entirely here", "and a third text for good measure"
+    got = near_dedup.keep_one(make_docs([(3, a), (5, a), (5, b), (5, c), (None, c), (7, b)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(3, a), (5, b), (5, c)])
+
+
+def test_keep_one_edges(spark, make_docs):
+    docs = make_docs(EDGE).withColumn("k1", F.lit("x")).withColumn("a.b", F.create_map(F.lit("k"), F.col("text"))).withColumn("__kept", F.lit(1))
+    got = near_dedup.keep_one(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    fps = {plain_fingerprint(r[1]) for r in EDGE}
+    assert len(rows) == len(fps) and {plain_fingerprint(r["text"]) for r in rows} == fps
+    assert near_dedup.keep_one(make_docs([])).collect() == []
+
+
 def test_chain_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
