@@ -271,4 +271,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     cells = F.struct(*(f"c{j}" for j in range(len(names))))
     several = plain.join(apart(first.filter("n > 1").select("k1", "k2")), ["k1", "k2"], "left_semi")
     several = several.groupBy("k1", "k2").agg(F.first(cells).alias("r")).select("r.*")  # equal rows
-    return named_again(once, names).unionByName(several.toDF(*names))
+    return named_again(once, names).union(several.toDF(*names))

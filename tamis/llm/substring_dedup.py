@@ -4,9 +4,11 @@ A window is 35 consecutive words. Its anchor is the least hash among its eight-w
 equal anchors, and neighbouring windows mostly share one: an index entry is a *run*, the consecutive windows of one
 document with one anchor, with a hash of the words they span. That is one entry for about fourteen windows.
 
-The index is log-structured. Each batch of documents becomes an immutable run file set, sorted by anchor; runs of a
-level are merged into one of the next level when :data:`FANOUT` of them have gathered. A new batch is merge-joined
-with all earlier runs on the anchor, which yields the candidates:
+The index is log-structured. Each batch of documents becomes an immutable run file set, sorted by anchor; when
+:data:`FANOUT` runs of a level have gathered they are compacted into one of the next level, whose files each merge as
+many sorted files. A query over a whole table feeds it in :data:`BATCHES` batches and merge-joins the runs on the
+anchor at the end; an incremental batch is merge-joined with the earlier runs on the anchors that it holds. Either
+way the join yields the candidates:
 
 * an anchor of one entry only: nothing repeats;
 * all entries of an anchor span the same words: every window in them repeats;
@@ -27,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, read, slices
+from .common import apart, drop, materialize, named_again, plain_names, read, slices
 
 WINDOW, GRAM = 35, 8
 #: Runs of one level that are merged into one of the next.
 FANOUT = 4
 #: Batches in which the query feeds the documents to the index.
-BATCHES = 2
+BATCHES = 4
 #: Windows of one entry at most. A place packs, from the lowest bit, the number of windows, whether the anchor's gram
 #: occurs in them more than once, and the first window.
 LONGEST = 1 << 20
@@ -224,7 +226,7 @@ class FingerprintIndex:
         self.levels: list[list[DataFrame]] = [[]]
 
     def append(self, batch: DataFrame) -> None:
-        """Writes a batch's entries as a new run, every file sorted by anchor, and merges levels that are full."""
+        """Writes a batch's entries as a new run, every file sorted by anchor, and compacts levels that are full."""
         self.levels[0].append(self._write(batch))
         level = 0
         while len(self.levels[level]) >= self.fanout:
@@ -234,7 +236,8 @@ class FingerprintIndex:
             merged = old[0]
             for r in old[1:]:
                 merged = merged.unionByName(r)
-            self.levels[level + 1].append(self._write(merged))
+            files = max(1, -(-merged.rdd.getNumPartitions() // self.fanout))
+            self.levels[level + 1].append(self._write(merged.coalesce(files)))
             for r in old:
                 drop(r)
             level += 1
@@ -249,31 +252,27 @@ class FingerprintIndex:
             out = out.unionByName(r)
         return out
 
-    def candidates(self) -> DataFrame:
-        """Entries whose anchor occurs elsewhere, by a merge join of all runs on the anchor: what is ``whole`` repeats altogether."""
+    def candidates(self, anchors: DataFrame | None = None) -> DataFrame:
+        """Entries whose anchor occurs elsewhere, by a merge join of all runs on the anchor: what is ``whole`` repeats altogether.
+
+        With ``anchors`` (of an incremental batch, distinct) only theirs: earlier repeats are not found again.
+        """
         rows = self.all()
+        if anchors is not None:
+            rows = materialize(rows.join(apart(anchors), "anchor", "left_semi"), "met")
         several = F.col("place").bitwiseAND(F.lit(1 << (FIRST_SHIFT - 1)))
         groups = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"), F.max(several).alias("several"))
         groups = groups.filter((F.col("n") > 1) | (F.col("several") > 0))
         whole = (F.col("n") > 1) & (F.col("lo") == F.col("hi"))
-        return rows.join(_apart(groups.select("anchor", whole.alias("whole"))), "anchor")
-
-
-def _apart(counts: DataFrame) -> DataFrame:
-    """Aggregated keys dealt evenly, off their aggregation's partitioning.
-
-    A join to an aggregate on the same keys would reuse its partitioning, and Spark could not split a hot key's rows on
-    the other side; with an exchange of its own on either side it can. These rows are distinct keys, so they are few.
-    """
-    return counts.repartition(max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        return rows.join(apart(groups.select("anchor", whole.alias("whole"))), "anchor")
 
 
-def repeated(rows: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """k1, k2, place of all repeated windows of keyed rows whose entries the index holds."""
-    found = materialize(index.candidates(), "candidates")
+def repeated(rows: DataFrame, index: FingerprintIndex, anchors: DataFrame | None = None) -> DataFrame:
+    """k1, k2, place of all repeated windows of keyed rows whose entries the index holds (with ``anchors``, those alone)."""
+    found = materialize(index.candidates(anchors), "candidates")
     mixed = found.filter("not whole")
     spans = mixed.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one"))
-    again = mixed.join(_apart(spans.filter("n > 1").select("anchor", "span")), ["anchor", "span"], "left_semi")
+    again = mixed.join(apart(spans.filter("n > 1").select("anchor", "span")), ["anchor", "span"], "left_semi")
     open_ = spans.select("one.k1", "one.k2", F.struct(F.col("one.place").alias("place"), (F.col("n") == 1).alias("open")).alias("r"))
     wanted = open_.groupBy("k1", "k2").agg(F.collect_list("r").alias("wanted"))  # at most the runs of one document
 
@@ -297,7 +296,7 @@ def repeated(rows: DataFrame, index: FingerprintIndex) -> DataFrame:
 
     windows = rows.join(wanted, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "wanted").mapInArrow(explode, "w1 long, w2 long, k1 long, k2 long, begin long")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-    single = windows.filter("begin >= 0").join(_apart(twice), ["w1", "w2"], "left_semi").select("k1", "k2", (F.shiftleft("begin", FIRST_SHIFT) + 1).alias("place"))
+    single = windows.filter("begin >= 0").join(apart(twice), ["w1", "w2"], "left_semi").select("k1", "k2", (F.shiftleft("begin", FIRST_SHIFT) + 1).alias("place"))
     return found.filter("whole").select("k1", "k2", "place").unionByName(again.select("k1", "k2", "place")).unionByName(single)
 
 
@@ -331,16 +330,21 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Every occurrence of a repeated window is removed. Null texts have no words. Repeated rows are repeats of each
     other. Texts under 35 words lose nothing. An empty table gives no rows; extra columns are ignored. With an
     ``index`` that holds earlier batches, ``docs`` is appended to it and judged against them too; ``history``, the
-    documents of those batches, is where the verification reads the windows of their entries.
+    documents of those batches, is required then: the verification reads the windows of their entries there.
     """
     rows = known = keyed(docs, id_col, text_col)
+    anchors = None
     if index is None:
         index = build_index(rows)
     else:
-        index.append(entries(rows))
-        if history is not None:
+        if any(index.levels):
+            if history is None:
+                raise ValueError("the index holds earlier batches; pass their documents as history")
             known = rows.unionByName(keyed(history, id_col, text_col))
-    marks = repeated(known, index).groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
+        own = materialize(entries(rows), "batch")
+        anchors = own.select("anchor").distinct()
+        index.append(own)
+    marks = repeated(known, index, anchors).groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
     both = rows.join(marks, ["k1", "k2"], "left").select("doc_id", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,28 +365,26 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(read(spark, sf_dir, "documents"))
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
-    """Documents with repeated passages cut out, all columns kept; texts that lose nothing stay as they are."""
-    rows = keyed(docs)
-    index = build_index(rows)
-    marks = repeated(rows, index).groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents with repeated passages cut out of their text; every other column, and a text that loses nothing, stays as it is.
+
+    Rows of any number of equal ids are judged each; null texts stay null; an empty table gives no rows; other columns
+    may have any name and type.
+    """
     names = docs.columns
-    plain = docs.toDF(*("text" if c == "text" else f"c{i}" for i, c in enumerate(names)))
-    i = f"c{names.index('doc_id')}"
-    plain = plain.withColumns({"k1": F.xxhash64(i, "text"), "k2": F.xxhash64("text", i, F.lit("key"))})
-    both = plain.join(marks, ["k1", "k2"], "left").drop("k1", "k2")
-    schema = plain.drop("k1", "k2").schema
-    at = names.index("text")
-    size = names.index("n_chars") if "n_chars" in names else None
+    plain = plain_names(docs)
+    i, t = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    rows = keyed(plain, i, t)
+    marks = repeated(rows, build_index(rows)).groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
+    both = plain.withColumns({"k1": F.xxhash64(i, t), "k2": F.xxhash64(t, i, F.lit("key"))}).join(marks, ["k1", "k2"], "left").drop("k1", "k2")
+    at, size = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                texts = [_kept(t, p)[2].decode("utf-8", "replace") if p else t for t, p in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist())]
-                cols = [batch.column(k) for k in range(len(names))]
+        for batch in batches:
+            for b in slices(batch, t):
+                texts = [_kept(x, p)[2].decode("utf-8", "replace") if p else x for x, p in zip(b.column(at).to_pylist(), b.column(size).to_pylist())]
+                cols = [b.column(k) for k in range(size)]
                 cols[at] = pa.array(texts, pa.string())
-                if size is not None:
-                    cols[size] = pa.array([n if not p else len(t) for n, t, p in zip(cols[size].to_pylist(), texts, batch.column("places").to_pylist())], cols[size].type)
-                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                yield pa.RecordBatch.from_arrays(cols, schema=b.schema.remove(size))
 
-    return both.mapInArrow(run, schema).toDF(*names)
+    return named_again(both.mapInArrow(run, plain.schema), names)

@@ -193,17 +193,40 @@ def test_incremental_index(spark, make_docs):
     assert any(r["n_removed"] for r in got) and all(len(r["kept"].split()) == r["n_words"] - r["n_removed"] for r in got)
 
 
-def test_cut_repeats_keeps_columns(spark, make_docs):
-    docs = make_docs(passage_corpus())
+def test_index_needs_its_history(spark, make_docs):
+    index = substring_dedup.FingerprintIndex(spark)
+    first = substring_dedup.deduplicate(make_docs([(1, " ".join(map(str, range(60))))]), index=index).collect()
+    assert [r["n_removed"] for r in first] == [0]
+    with pytest.raises(ValueError):
+        substring_dedup.deduplicate(make_docs([(2, " ".join(map(str, range(60))))]), index=index)
+    got = substring_dedup.deduplicate(make_docs([(2, " ".join(map(str, range(60))))]), index=index, history=make_docs([(1, " ".join(map(str, range(60))))]))
+    assert [r["n_removed"] for r in got.collect()] == [60]
+
+
+def test_query_compacts(spark, make_docs):
+    index = substring_dedup.build_index(substring_dedup.keyed(make_docs(passage_corpus())))
+    assert [len(x) for x in index.levels] == [0, 1]
+
+
+def test_cut_repeats_against_plain(spark, make_docs):
+    rows = passage_corpus() + [(900, "  ".join(f"w{i}" for i in range(80)))] * 2
+    docs = make_docs(rows).withColumn("n_chars", F.lit("about ten")).withColumn("c0", F.create_map(F.lit("a"), F.col("doc_id"))).withColumn("places", F.lit(1)).withColumn("x.y", F.array("text"))
     got = substring_dedup.cut_repeats(docs)
-    assert got.columns == docs.columns and got.count() == docs.count()
-    clean = {r[1] for r in plain_removed(passage_corpus()) if r[3] == 0 and not r[0] and 20 <= r[1] < 900}
-    texts = {r[0]: r[1] for r in passage_corpus()}
+    assert got.columns == docs.columns
+    texts = collections.defaultdict(list)
     for r in got.collect():
-        if r["doc_id"] in clean:
-            assert r["text"] == texts[r["doc_id"]]
-        if r["text"] is not None:
-            assert r["n_chars"] == len(r["text"])
+        assert r["n_chars"] == "about ten" and r["places"] == 1 and r["c0"] == {"a": r["doc_id"]}
+        whole = r["x.y"][0]
+        gone = whole != r["text"]
+        texts[r["doc_id"] is None, r["doc_id"] or 0].append((whole or "", r["text"] or "", gone))
+    plain = collections.defaultdict(list)
+    for no_id, i, n, removed, digest in plain_removed(rows):
+        plain[no_id, i].append((n, removed, digest))
+    assert {k: len(v) for k, v in texts.items()} == {k: len(v) for k, v in plain.items()}
+    for k, own in texts.items():
+        assert sorted((len(w.encode().split()), len(w.encode().split()) - len(t.encode().split()), hashlib.sha256(b" ".join(t.encode().split())).hexdigest()) for w, t, _ in own) == sorted(plain[k])
+        assert all(gone == (len(w.encode().split()) != len(t.encode().split())) for w, t, gone in own)
+    assert substring_dedup.cut_repeats(make_docs([])).collect() == []
 
 
 def test_dedup_empty(spark, make_docs):
