@@ -1,18 +1,20 @@
 """Media payloads in a content-defined chunk store.
 
 A payload is cut where a rolling gear hash of its last 32 bytes has its top bits zero, so equal stretches of different
-payloads are cut alike. Chunks are named by digest and stored once, compressed; a payload is the ordered list of its
-chunks. Reading back joins the lists with the store, checks every chunk against its digest, and computes features
-from the bytes read.
-
-Chunk bytes move once, when equal chunks meet for storing. A payload of one chunk is read back straight from the
-store's scan; only the chunks of longer payloads are joined and put in order. Equal payloads are one entry, so copies
-move as digests only.
+payloads are cut alike. Chunks are named by digest and stored once, each as one compressed frame; a payload is the
+ordered list of its chunks, and its stored form is their frames in that order (a stream that any decoder of the format
+reads). Reading back joins the lists with the store on the digest, checks every chunk against its digest and the
+whole against the payload's, and computes features from the bytes read.
+
+Chunk bytes move when equal chunks meet for storing; the store stays dealt by digest (a bucketed table), so lists come
+to the chunks and not the other way. Only chunks of payloads of more than one chunk move again, to be put in
+order. Equal payloads are one entry, so copies move as digests only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, slices
+from .common import apart, materialize, read, slices, work_dir
 
 #: Payload lengths are positive multiples of this (a 24 x 24 frame of 8-bit samples).
 UNIT, FILL = 576, b"\xff"
@@ -90,11 +92,11 @@ def recipes(docs: DataFrame) -> DataFrame:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """Chunks with their bytes compressed, each once per task: digest, whether a whole payload, whether part of a longer one, data."""
+    """Chunks with their bytes compressed, each once per task: digest, data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=LEVEL).compress
-        sent: set[tuple[bytes, bool]] = set()  # 16 bytes a chunk of this task's split
+        sent: set[bytes] = set()  # 16 bytes a chunk of this task's split
         for whole in batches:
             for batch in slices(whole):
                 rows = []
@@ -103,32 +105,37 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                     ends = cut(payload)
                     for a, b in zip([0, *ends], ends):
                         piece = payload[a:b]
-                        key = digest(piece), len(ends) > 1
-                        if key not in sent:
-                            sent.add(key)
-                            rows.append((key[0], not key[1], key[1], pack(piece)))
+                        name = digest(piece)
+                        if name not in sent:
+                            sent.add(name)
+                            rows.append((name, pack(piece)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.bool_(), pa.bool_(), pa.binary()))], names=["digest", "single", "part", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["digest", "data"])
 
-    return docs.mapInArrow(run, "digest binary, single boolean, part boolean, data binary")
+    return docs.mapInArrow(run, "digest binary, data binary")
 
 
 class ChunkStore:
-    """Distinct chunks in the shared folder; later batches add only what no earlier one holds."""
+    """Distinct chunks in the shared folder, dealt by digest; later batches add only what no earlier one holds."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.parts = spark, []
 
     def add(self, chunks: DataFrame) -> None:
-        once = chunks.groupBy("digest").agg(F.max("single").alias("single"), F.max("part").alias("part"), F.first("data").alias("data"))
-        if self.parts:
-            once = once.join(self.all().select("digest"), "digest", "left_anti")
-        self.parts.append(materialize(once, "chunks"))
-
-    def all(self) -> DataFrame:
-        out = self.parts[0]
-        for p in self.parts[1:]:
-            out = out.unionByName(p)
+        for part in self.parts:
+            chunks = chunks.join(part.select("digest"), "digest", "left_anti")
+        once = chunks.groupBy("digest").agg(F.first("data").alias("data"))
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"tamis_chunks_{uuid.uuid4().hex}"
+        once.write.bucketBy(buckets, "digest").option("path", work_dir(self.spark, "chunks")).saveAsTable(name)
+        self.parts.append(self.spark.table(name))
+
+    def find(self, refs: DataFrame) -> DataFrame:
+        """``refs`` with the data of their digest. A digest is in one part only."""
+        out = None
+        for part in self.parts:
+            found = refs.join(part, "digest")
+            out = found if out is None else out.unionByName(found)
         return out
 
 
@@ -138,15 +145,13 @@ OUT = "pid binary, payload_bytes long, payload_sha256 string, tail_crc32 long, m
 def _describe(pid: bytes, frames: list[tuple[bytes, bytes]]) -> tuple:
     """Values of a payload from its stored chunks (digest, compressed bytes), each verified."""
     unpack = zstandard.ZstdDecompressor().decompress
-    media = [b"CDC1", len(frames).to_bytes(4, "little")]
     parts = []
     for name, data in frames:
         piece = unpack(data)
         if digest(piece) != name:
             raise ValueError(f"chunk {name.hex()} does not match its digest")
         parts.append(piece)
-        media += [name, len(data).to_bytes(4, "little"), data]
-    payload, stored = b"".join(parts), b"".join(media)
+    payload, stored = b"".join(parts), b"".join(data for _, data in frames)
     if digest(payload) != pid:
         raise ValueError(f"payload {pid.hex()} is not what was stored")
     return pid, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), features(payload)
@@ -160,12 +165,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
 
-def read_back(store: DataFrame, lists: DataFrame) -> DataFrame:
-    """Values of every payload, from the store. ``lists``: pid and chunks of the payloads of more than one chunk."""
+def read_back(store: ChunkStore, lists: DataFrame) -> DataFrame:
+    """Values of every payload (pid and its chunks, one row each), from the store."""
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [_describe(d, [(d, z)]) for d, z in zip(b.column("digest").to_pylist(), b.column("data").to_pylist())]
+            rows = [_describe(p, [(d, z)]) for p, d, z in zip(*(b.column(c).to_pylist() for c in ("pid", "digest", "data")))]
             if rows:
                 yield _batch(rows)
 
@@ -184,10 +189,10 @@ def read_back(store: DataFrame, lists: DataFrame) -> DataFrame:
         if frames:
             yield _batch([_describe(pid, frames)])
 
-    one = store.filter("single").select("digest", "data").mapInArrow(singles, OUT)
-    refs = lists.groupBy("pid").agg(F.first("chunks").alias("chunks")).select("pid", F.posexplode("chunks").alias("seq", "digest"))
-    joined = refs.join(store.filter("part").select("digest", "data"), "digest")
-    many = joined.repartition("pid").sortWithinPartitions("pid", "seq").select("pid", "digest", "data").mapInArrow(longer, OUT)
+    one = lists.filter(F.size("chunks") == 1).select("pid", F.element_at("chunks", 1).alias("digest"))
+    many = lists.filter(F.size("chunks") > 1).select("pid", F.posexplode("chunks").alias("seq", "digest"))
+    one = store.find(one).select("pid", "digest", "data").mapInArrow(singles, OUT)
+    many = store.find(many).repartition("pid").sortWithinPartitions("pid", "seq").select("pid", "digest", "data").mapInArrow(longer, OUT)
     return one.unionByName(many)
 
 
@@ -195,14 +200,16 @@ def ingest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stor
     """One row per input row: doc_id, n_bytes, then the values that :func:`read_back` gives for its payload.
 
     Null and empty texts store one unit of fill bytes. Repeated rows and equal texts get equal values. An empty table
-    gives no rows; extra columns are ignored.
+    gives no rows; extra columns are ignored. With a ``store`` of earlier batches, only new chunks are added, and
+    only this batch's payloads are read back.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lists = materialize(recipes(plain), "recipes")
+    rows = materialize(recipes(plain), "recipes")
     store = store or ChunkStore(docs.sparkSession)
     store.add(chunk_rows(plain.select("text")))
-    values = materialize(read_back(store.all(), lists.filter(F.size("chunks") > 1)), "values")
-    return lists.select("doc_id", "n_bytes", "pid").join(values, "pid").drop("pid")
+    lists = rows.groupBy("pid").agg(F.first("chunks").alias("chunks"))
+    values = materialize(read_back(store, lists), "values")
+    return rows.select("doc_id", "n_bytes", "pid").join(apart(values), "pid").drop("pid")
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,25 @@ def test_store_adds_only_new_chunks(spark, make_docs):
     assert [p.count() for p in store.parts] == [2, 1]
 
 
+def test_store_across_batches(spark, make_docs):
+    """A chunk is found whether an earlier batch stored it alone or inside a longer payload, and values don't depend on batches."""
+    rng = random.Random(4)
+    while True:  # until the first chunk is a payload of its own, without fill bytes
+        long = "".join(rng.choice("abcdefghij ") for _ in range(12_000))
+        payload = media.payload_of(long)[1]
+        first = media.cut(payload)[0]
+        if first % media.UNIT == 0:
+            break
+    piece = long[:first]
+    assert media.cut(piece.encode()) == [first]
+    alone = {r["doc_id"]: r for r in media.ingest(make_docs([(1, piece), (2, long)])).collect()}
+    for order in ([(1, piece), (2, long)], [(2, long), (1, piece)]):
+        store = media.ChunkStore(spark)
+        for row in order:
+            (got,) = media.ingest(make_docs([row]), store=store).collect()
+            assert got == alone[row[0]]
+
+
 def test_damaged_chunk_is_found():
     import zstandard
 
