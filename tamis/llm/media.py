@@ -30,7 +30,7 @@ from .common import apart, materialize, read, slices, work_dir
 UNIT, FILL = 576, b"\xff"
 #: Least and greatest chunk; between them a cut falls every 2**MASK_BITS bytes on average.
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 2 << 10, 8 << 10, 11
-LEVEL = 9
+LEVEL = 19
 _GEAR = np.random.default_rng(20260201).integers(0, 2**32, 256, dtype=np.uint32)
 
 
