@@ -36,6 +36,48 @@ def test_gradients_against_differences():
             assert abs((up - down) / (2 * eps) - g[name][at]) < 2e-3
 
 
+def test_label_equals_forward():
+    net = language_id.ByteBiGru(["a", "b", "c"])
+    ids = np.random.default_rng(1).integers(0, 256, (7, 30)) * (np.random.default_rng(3).random((7, 30)) < 0.9)
+    assert np.abs(net.label(ids.T).transpose(1, 0, 2) - net.forward(ids)[0]).max() < 1e-5
+
+
+def test_gradients_of_marked_positions():
+    net = language_id.ByteBiGru(["a", "b"])
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    rng = np.random.default_rng(2)
+    x, y, mark = rng.integers(97, 110, (4, 6)), rng.integers(0, 2, 4), rng.random((4, 6)) < 0.6
+    x[1, 2] = x[3, 5] = 0
+    loss, g = net.gradients(x, y, mark)
+    assert abs(loss + np.log(net.forward(x)[0][np.arange(4), :, y] + 1e-9)[mark].mean()) < 1e-9
+    v = net.p["Whb"]
+    v[2, 3] += 1e-4
+    up, _ = net.gradients(x, y, mark)
+    v[2, 3] -= 2e-4
+    down, _ = net.gradients(x, y, mark)
+    assert abs((up - down) / 2e-4 - g["Whb"][2, 3]) < 1e-4
+
+
+def test_documents_pool_their_letters():
+    """Windows with their contexts, and means over letters, against one window at a time."""
+    net = language_id.ByteBiGru(["a", "b", "c"])
+    texts = ["m²", "x", "Éa 12 漢字! " * 90, "9 8 7", "word " * 200]
+    mean, count = net.pool(texts)
+    for text, m, n in zip(texts, mean, count):
+        raw, letter = language_id.bytes_of(text)
+        assert n == letter.sum() == sum(len(c.encode()) for c in text.lower() if c.isalpha())
+        total = np.zeros(3)
+        for at in range(0, len(raw), language_id.CORE):
+            window = np.zeros(language_id.CORE + 2 * language_id.CONTEXT, np.uint8)
+            lo, hi = max(0, at - language_id.CONTEXT), min(len(raw), at + language_id.CORE + language_id.CONTEXT)
+            window[lo - at + language_id.CONTEXT : hi - at + language_id.CONTEXT] = raw[lo:hi]
+            prob = net.forward(window[None].astype(int))[0][0][language_id.CONTEXT : -language_id.CONTEXT]
+            mark = letter[at : at + language_id.CORE]
+            total += prob[: len(mark)][mark].sum(axis=0)
+        assert np.abs(m - total / max(1, n)).max() < 1e-4
+    assert [p[0] == "und" for p in net.predict([*texts, None, ""])] == [False, False, False, True, False, True, True]
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = language_id.op8_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -45,10 +87,11 @@ def test_language_held_out(spark):
 
 
 def test_language_edges(spark, make_docs):
-    rows = [(100 + i, "the house is there " * 5, "en") for i in range(30)] + [(200 + i, "das haus ist dort " * 5, "de") for i in range(30)] + EDGE + [(300, "123 !!!")]
+    rows = [(100 + i, "the house is there " * 5, "en") for i in range(30)] + [(200 + i, "das haus ist dort " * 5, "de") for i in range(30)] + EDGE + [(300, "123 !!!"), (301, "m²")]
     got = {(r["doc_id"], r["lang_pred"]) for r in language_id.identify(make_docs(rows)).collect()}
     for i in (2, 3, 4, 300):
         assert (i, "und") in got
+    assert (301, "und") not in got
     assert sum(1 for i in range(30) if (100 + i, "en") in got) > 27 and sum(1 for i in range(30) if (200 + i, "de") in got) > 27
     kept = language_id.keep_identified(make_docs(rows))
     assert kept.columns == make_docs(rows).columns and not {2, 3, 4, 300} & {r["doc_id"] for r in kept.collect()}
