@@ -1,13 +1,15 @@
 """Chat formatting: roles of transcript lines by a hidden Markov model, then canonical turns.
 
-States are the roles. A line is observed through its speaker marker (``User:``, ``### Assistant``, ...; a role column
-counts as a marker too), its length, whether it asks, and how many text lines it has. Transition and emission
-probabilities are counted over all labelled lines; Viterbi then finds the likeliest roles, with or without markers.
+States are the roles. A line (or a turn, where turns are given) is observed through its speaker marker (``User:``,
+``### Assistant``, ...), its length, whether it asks, and how many text lines it has; its role is never an
+observation. Transition and emission probabilities are counted over all labelled lines, outside a held-out fold if
+one is named; Viterbi then finds the likeliest roles, with or without markers. Roles that a caller knows and doesn't
+hide are kept, and the others are found around them.
 
 Conversations can be of any length, so decoding is not per conversation. Lines are sorted once over the whole table
 into ranges of bounded size. Viterbi steps are max-plus products, so a range is summed up by one small matrix for the
-conversation that enters it and one for the one that leaves it. Those few matrices per range are chained on the
-driver (they grow with the number of ranges, not of lines), and every range then decodes its own lines between known ends.
+conversation that enters it and one for the one that leaves it. Those matrices are chained by conversation as a
+tree, at most :data:`FAN` to a task, and every range then decodes its own lines between known ends.
 """
 
 from __future__ import annotations
@@ -17,17 +19,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import crc_of_id, materialize, read
 
 ROLES = ("system", "user", "assistant")
 #: Speaker markers by role, as they stand at the start of a line.
 MARKERS = {"system": "system|instructions?", "user": "user|human|customer|question|prompter|q", "assistant": "assistant|ai|bot|model|gpt|agent|answer|a"}
 _HEAD = r"^\s*(?:<\|(?:im_start\|>)?|#{1,4}\s*|\[|\*{1,2})?"
 _TAIL = r"(?:\|>|\]|\*{1,2})?\s*(?::|>|\n|$)\s*"
-#: Bits of a line's observation: marker (0 none, then the roles), length class, question, several text lines.
-N_MARKERS, N_LENGTHS = len(ROLES) + 1, 8
-#: Lines per range.
-RANGE_LINES = 50_000
+#: Classes of a line's observation: marker (0 none, then the roles), length in half octaves, question, text lines.
+N_MARKERS, N_LENGTHS, N_ASKS, N_LINES = len(ROLES) + 1, 32, 2, 4
+N_OBS = N_MARKERS * N_LENGTHS * N_ASKS * N_LINES
+#: Lines per range, and matrices chained in one task.
+RANGE_LINES, FAN = 50_000, 1024
 #: Added to every count.
 PRIOR = 0.5
 
@@ -36,34 +39,43 @@ def marker_pattern(role: str) -> str:
     return f"(?i){_HEAD}(?:{MARKERS[role]}){_TAIL}"
 
 
-def marker_of(text: Column, role: Column | None = None) -> Column:
-    """0 without a marker, else 1 and the role's place in :data:`ROLES`. A known role in the column goes first."""
-    out = F.lit(None).cast("int")
+def role_number(role: Column) -> Column:
+    """1 and the role's place in :data:`ROLES`; 0 if it is unknown."""
+    out = F.lit(0)
+    for i, r in enumerate(ROLES):
+        out = F.when(F.lower(F.trim(role)) == r, i + 1).otherwise(out)
+    return out
+
+
+def marker_of(text: Column) -> Column:
+    """0 without a marker, else 1 and the role's place in :data:`ROLES`."""
+    out = F.lit(0)
     for i, r in reversed(list(enumerate(ROLES))):
         out = F.when(text.rlike(marker_pattern(r)), i + 1).otherwise(out)
-    if role is not None:
-        for i, r in enumerate(ROLES):
-            out = F.when(F.lower(F.trim(role)) == r, i + 1).otherwise(out)
-    return F.coalesce(out, F.lit(0))
+    return out
 
 
 def observe(text: Column, marker: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
-    size = F.least(F.floor(F.log2(F.length(t) + 1) / 1.5), F.lit(N_LENGTHS - 1)).cast("int")
+    size = F.least(F.floor(F.log2(F.length(t) + 1) * 2), F.lit(N_LENGTHS - 1)).cast("int")
     asks = F.when(F.rtrim(t).rlike(r"[?？]$"), 1).otherwise(0)
-    several = F.when(F.instr(t, "\n") > 0, 1).otherwise(0)
-    return ((marker * N_LENGTHS + size) * 2 + asks) * 2 + several
+    breaks = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    lines = F.when(breaks == 0, 0).when(breaks == 1, 1).when(breaks < 4, 2).otherwise(3)
+    return ((marker * N_LENGTHS + size) * N_ASKS + asks) * N_LINES + lines
 
 
 class RoleModel:
     """Log probabilities: first role, transitions, and per role each observation."""
 
     def __init__(self, first: np.ndarray, moves: np.ndarray, emit: np.ndarray):
-        self.first, self.moves, self.emit = first, moves, emit
+        """``emit`` is role x observation; further observations, a role's number above, stand for a role that is known."""
+        self.first, self.moves = first, moves
+        known = [emit + np.where(np.arange(len(ROLES)) == k, 0.0, -1e9)[:, None] for k in range(len(ROLES))]
+        self.emit = np.concatenate([emit, *known], axis=1)
 
     @classmethod
     def fit(cls, first: np.ndarray, moves: np.ndarray, counts: np.ndarray) -> "RoleModel":
-        """``counts``: role x marker x length x asks x several. Features are independent given the role."""
+        """``counts``: role x marker x length x asks x lines. Features are independent given the role."""
         log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
         flat = 0.0
         for axis in range(1, counts.ndim):
@@ -103,7 +115,7 @@ class RoleModel:
 def train(lines: DataFrame) -> RoleModel:
     """Counts over all lines (conv, turn, role 1-3 or 0, obs). Lines of one place count once in the transitions."""
     k = len(ROLES)
-    counts = np.zeros((k, N_MARKERS * N_LENGTHS * 4))
+    counts = np.zeros((k, N_OBS))
     for r in lines.filter("role > 0").groupBy("role", "obs").count().collect():  # at most roles x observations rows
         counts[r["role"] - 1, r["obs"]] = r["count"]
     places = lines.filter("role > 0").groupBy("conv", "turn").agg(F.min("role").alias("role"))
@@ -114,7 +126,7 @@ def train(lines: DataFrame) -> RoleModel:
     starts = places.groupBy("conv").agg(F.min_by("role", "turn").alias("role"))
     for r in starts.groupBy("role").count().collect():
         first[r["role"] - 1] = r["count"]
-    return RoleModel.fit(first, moves, counts.reshape(k, N_MARKERS, N_LENGTHS, 2, 2))
+    return RoleModel.fit(first, moves, counts.reshape(k, N_MARKERS, N_LENGTHS, N_ASKS, N_LINES))
 
 
 def _groups(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[int, slice]]]:
@@ -135,36 +147,73 @@ def _summaries(shared):
     return run
 
 
-def stitch(rows: list) -> dict[tuple[int, int], tuple[np.ndarray | None, int]]:
-    """For conversations that span ranges, by (range, conversation): scores on entering (None: it starts here) and the role on leaving."""
-    out: dict = {}
-    rows = sorted(rows, key=lambda r: (r["part"], r["at"]))
-    at = 0
-    while at < len(rows):
-        end = at + 1
-        while end < len(rows) and rows[end]["conv"] == rows[at]["conv"]:
-            end += 1
-        if end - at > 1:
-            matrices = [np.array(r["matrix"]).reshape(-1, len(ROLES)) for r in rows[at:end]]
-            scores = [matrices[0][-1]]
-            for m in matrices[1:]:
-                scores.append((scores[-1][:, None] + m[:-1]).max(axis=0))
-            role = int(scores[-1].argmax())
-            for i in range(len(matrices) - 1, -1, -1):
-                out[rows[at + i]["part"], rows[at + i]["conv"]] = (scores[i - 1] if i else None, role)
-                if i:
-                    role = int((scores[i - 1] + matrices[i][:-1, role]).argmax())
-        at = end
-    return out
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """Max-plus product of consecutive matrices (see :meth:`RoleModel.matrix`)."""
+    total = matrices[0]
+    for m in matrices[1:]:
+        total = (total[:, :, None] + m[None, :-1]).max(axis=1)
+    return total
 
 
-def _decode(shared):
+def between(matrices: list[np.ndarray], enter: np.ndarray | None, leave: int | None) -> list[tuple[np.ndarray | None, int]]:
+    """For each of consecutive matrices: scores on entering it and the role on leaving it, given both for the whole."""
+    into, scores = [], enter
+    for m in matrices:
+        into.append(scores)
+        scores = m[-1] if scores is None else (scores[:, None] + m[:-1]).max(axis=0)
+    role = int(scores.argmax()) if leave is None else leave
+    roles = [role]
+    for m, before in zip(matrices[:0:-1], into[:0:-1]):
+        role = int((before + m[:-1, role]).argmax())
+        roles.append(role)
+    return list(zip(into, roles[::-1]))
+
+
+_LINK = "conv long, seq long, matrix array<double>"
+_ENDS = "conv long, seq long, enter array<double>, leave int"
+
+
+def _matrices(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.array(m).reshape(-1, len(ROLES)) for m in pdf["matrix"]]
+
+
+def _multiply(fan: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        model, ends = shared.value
+        pdf = pdf.sort_values("seq")
+        return pd.DataFrame([(int(pdf["conv"].iloc[0]), int(pdf["seq"].iloc[0]) // fan, product(_matrices(pdf)).ravel().tolist())], columns=["conv", "seq", "matrix"])
+
+    return run
+
+
+def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("seq")
+    outer = "leave" in pdf.columns
+    enter = pdf["enter"].iloc[0] if outer else None
+    ends = between(_matrices(pdf), None if enter is None else np.array(enter), int(pdf["leave"].iloc[0]) if outer else None)
+    return pd.DataFrame([(int(c), int(q), None if e is None else e.tolist(), leave) for c, q, (e, leave) in zip(pdf["conv"], pdf["seq"], ends)], columns=["conv", "seq", "enter", "leave"])
+
+
+def chain(links: DataFrame, fan: int = FAN) -> DataFrame:
+    """(conv, seq, matrix) -> enter and leave of each, at most ``fan`` matrices in a task."""
+    longest = links.agg(F.max("seq")).first()[0]
+    if longest is None or longest < fan:
+        return links.groupBy("conv").applyInPandas(_solve, _ENDS)
+    block = F.floor(F.col("seq") / fan).cast("long")
+    upper = materialize(links.groupBy("conv", block.alias("block")).applyInPandas(_multiply(fan), _LINK), "links")
+    outer = chain(upper, fan).withColumnRenamed("seq", "block")
+    return links.withColumn("block", block).join(outer, ["conv", "block"]).groupBy("conv", "block").applyInPandas(_solve, _ENDS)
+
+
+def _decode(shared):
+    def run(pdf: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        model = shared.value
+        known = {int(c): (None if e is None else np.array(e), int(leave)) for c, e, leave in zip(ends["conv"], ends["enter"], ends["leave"])}
+        if not len(pdf):
+            return pd.DataFrame({"conv": [], "turn": [], "tie": [], "found": []})
         pdf, groups = _groups(pdf)
         obs, found = pdf["obs"].to_numpy(), np.zeros(len(pdf), np.int64)
         for key, at in groups:
-            found[at] = model.viterbi(obs[at], *ends.get((int(pdf["part"][0]), key), (None, None)))
+            found[at] = model.viterbi(obs[at], *known.get(key, (None, None)))
         pdf["found"] = found
         return pdf[["conv", "turn", "tie", "found"]]
 
@@ -174,43 +223,63 @@ def _decode(shared):
 _NULL = -(2**63)
 
 
-def decode(lines: DataFrame, model: RoleModel, range_lines: int = RANGE_LINES) -> DataFrame:
+def decode(lines: DataFrame, model: RoleModel, range_lines: int = RANGE_LINES, fan: int = FAN) -> DataFrame:
     """Roles (found, a place in :data:`ROLES`) of distinct lines (conv, turn, tie, obs)."""
-    spark = lines.sparkSession
+    shared = lines.sparkSession.sparkContext.broadcast(model)  # fixed by roles and observations
     n = max(1, -(-lines.count() // range_lines))
     ranged = lines.repartitionByRange(n, "conv", "turn", "tie").withColumn("part", F.spark_partition_id())
     ranged = materialize(ranged, "ranges")  # the ranges stay as they were dealt
     grouped = ranged.groupBy("part")
-    rows = grouped.applyInPandas(_summaries(spark.sparkContext.broadcast(model)), "part int, at int, conv long, matrix array<double>").collect()  # two per range at most
-    shared = spark.sparkContext.broadcast((model, stitch(rows)))
-    return grouped.applyInPandas(_decode(shared), "conv long, turn long, tie long, found int")
-
-
-def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = "role") -> DataFrame:
-    """One row per input row: conv_id, turn, marker_role (what the marker says, or null), role (by Viterbi), rendered.
-
-    Rendering is ``<|im_start|>role``, the text without its marker, ``<|im_end|>``; a conversation is its rows'
-    renderings in the order of turns. Rows with a null conversation or turn come first in theirs; null texts are
-    empty; rows of one turn are ordered by a hash of the text; repeated rows are decoded once and share their role;
-    unknown roles count as no marker; an empty table gives no rows; extra columns are ignored.
+    ends = grouped.applyInPandas(_summaries(shared), "part int, at int, conv long, matrix array<double>")
+    ends = materialize(ends, "ends")  # two rows per range at most
+    spans = ends.groupBy("conv").agg(F.count("*").alias("n"), F.min("part").alias("from")).filter("n > 1")
+    # a conversation that spans ranges has one row in each of them, and nothing stands between
+    links = ends.join(spans, "conv").select("conv", (F.col("part") - F.col("from")).cast("long").alias("seq"), "part", "matrix")
+    links = materialize(links, "links")
+    solved = chain(links.select("conv", "seq", "matrix"), fan).join(links.select("conv", "seq", "part"), ["conv", "seq"])
+    solved = materialize(solved.select("part", "conv", "enter", "leave"), "solved")
+    return grouped.cogroup(solved.groupBy("part")).applyInPandas(_decode(shared), "conv long, turn long, tie long, found int")
+
+
+def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = "role", hide_roles: bool = False, holdout: tuple[int, int] | None = None) -> DataFrame:
+    """One row per input row: conv_id, turn, given_role, marker_role (what the marker says, or null), role, rendered.
+
+    Roles in ``role_col`` train the model and are kept; where they are missing, Viterbi finds them. With
+    ``hide_roles`` they train and are otherwise not seen: every role is found. ``holdout`` (n, k) keeps conversations
+    whose crc32(id as text) mod n is k out of training. Without any role, markers train.
+
+    Rendering is ``<|im_start|>role``, the text, ``<|im_end|>``; a conversation is its rows' renderings in the order of
+    turns. A marker is left out only where it is in the text, agrees with a role that was found, and text follows it.
+    Rows with a null conversation or turn come first in theirs; null texts are empty; rows of one turn are ordered by a
+    hash of the text; equal scores go to the first of :data:`ROLES`; repeated rows are decoded once and share their
+    role; an unknown role counts as none; an empty table gives no rows; extra columns are ignored.
     """
     text = F.col(text_col)
-    marker = marker_of(F.coalesce(text, F.lit("")), F.col(role_col) if role_col else None)
+    marker = marker_of(F.coalesce(text, F.lit("")))
+    given = role_number(F.col(role_col)) if role_col else F.lit(0)
+    label = given if role_col else marker
+    known = F.lit(0) if hide_roles else given
+    obs = observe(text, marker)
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn_id"), text.alias("text"),
         F.coalesce(F.col(conv_col).cast("long"), F.lit(_NULL)).alias("conv"), F.coalesce(F.col(turn_col).cast("long"), F.lit(_NULL)).alias("turn"),
-        marker.alias("marker"), F.xxhash64(text, marker).alias("tie"), observe(text, marker).alias("obs"),
+        marker.alias("marker"), label.alias("label"), given.alias("given"), known.alias("known"),
+        F.xxhash64(text, known).alias("tie"), (obs + N_OBS * known).alias("obs"), obs.alias("plain"),
     )
-    model = train(rows.select("conv", "turn", F.col("marker").alias("role"), "obs"))
+    fit = rows if holdout is None else rows.filter(crc_of_id("conv_id") % holdout[0] != holdout[1])
+    model = train(fit.select("conv", "turn", F.col("label").alias("role"), F.col("plain").alias("obs")))
     found = decode(rows.select("conv", "turn", "tie", "obs").distinct(), model)
-    role = F.element_at(F.array(*map(F.lit, ROLES)), F.col("found") + 1)
+    name = lambda n: F.element_at(F.array(*map(F.lit, ROLES)), n)
+    role = name(F.col("found") + 1)
     plain = F.coalesce(F.col("text"), F.lit(""))
-    for r in ROLES:
-        plain = F.regexp_replace(plain, marker_pattern(r), "")
-    said = F.when(F.col("marker") > 0, F.element_at(F.array(*map(F.lit, ROLES)), F.greatest("marker", F.lit(1))))
+    body = plain
+    for i, r in enumerate(ROLES):
+        rest = F.regexp_replace(plain, marker_pattern(r), "")
+        body = F.when((F.col("known") == 0) & (F.col("marker") == i + 1) & (F.col("found") == i) & (F.trim(rest) != ""), rest).otherwise(body)
+    said = lambda c: F.when(F.col(c) > 0, name(F.greatest(c, F.lit(1))))
     return rows.join(found.groupBy("conv", "turn", "tie").agg(F.min("found").alias("found")), ["conv", "turn", "tie"]).select(
-        "conv_id", F.col("turn_id").alias("turn"), said.alias("marker_role"), role.alias("role"),
-        F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), plain, F.lit("<|im_end|>\n")).alias("rendered"),
+        "conv_id", F.col("turn_id").alias("turn"), said("given").alias("given_role"), said("marker").alias("marker_role"), role.alias("role"),
+        F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), body, F.lit("<|im_end|>\n")).alias("rendered"),
     )
 
 
@@ -220,5 +289,11 @@ def transcript_lines(transcripts: DataFrame, id_col: str, text_col: str) -> Data
     return transcripts.select(F.col(id_col).alias("conv_id"), lines.alias("turn", "text"))
 
 
+#: Conversations whose crc32(id as text) mod the first number is the second are held out of training.
+HOLDOUT = (4, 2)
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_turns(read(spark, sf_dir, "conversations"))
+    """Every turn's role from its text and its neighbours alone; the given role only trains, outside the fold, and is shown for the score."""
+    out = format_turns(read(spark, sf_dir, "conversations"), hide_roles=True, holdout=HOLDOUT)
+    return out.withColumn("held_out", crc_of_id("conv_id") % HOLDOUT[0] == HOLDOUT[1])

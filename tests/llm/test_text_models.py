@@ -254,18 +254,71 @@ def test_chat_roles_without_markers(spark):
     assert got[0, 0]["rendered"] == "<|im_start|>user\nwhat is the way to thing 0?<|im_end|>\n"
 
 
-def test_chat_ranges_equal_one_pass(spark):
-    rng = random.Random(1)
-    rows = [(rng.choice([1, 1, 1, 2, 3]), i, i, rng.randrange(0, 128)) for i in range(400)]
+def some_model(seed=1):
     k = len(chat_format.ROLES)
-    g = np.random.default_rng(1)
-    model = chat_format.RoleModel.fit(g.random(k), g.random((k, k)), g.random((k, 4, 8, 2, 2)) * 50)
-    got = chat_format.decode(spark.createDataFrame(rows, "conv long, turn long, tie long, obs int"), model, range_lines=23).collect()
+    g = np.random.default_rng(seed)
+    shape = (k, chat_format.N_MARKERS, chat_format.N_LENGTHS, chat_format.N_ASKS, chat_format.N_LINES)
+    return chat_format.RoleModel.fit(g.random(k), g.random((k, k)), g.random(shape) * 50)
+
+
+@pytest.mark.parametrize("fan", [1024, 3])
+def test_chat_ranges_equal_one_pass(spark, fan):
+    rng = random.Random(1)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), i, i, rng.randrange(0, chat_format.N_OBS)) for i in range(400)]
+    model = some_model()
+    got = chat_format.decode(spark.createDataFrame(rows, "conv long, turn long, tie long, obs int"), model, range_lines=13, fan=fan).collect()
+    assert len(got) == len(rows)
     for c in (1, 2, 3):
         own = [r for r in rows if r[0] == c]
         assert [r["found"] for r in sorted(got, key=lambda r: r["turn"]) if r["conv"] == c] == model.viterbi(np.array([r[3] for r in own])).tolist()
 
 
+def test_viterbi_against_all_paths():
+    import itertools
+
+    model, rng = some_model(5), np.random.default_rng(6)
+    for n in (1, 2, 5):
+        obs = rng.integers(0, chat_format.N_OBS * 2, n)
+
+        def score(path):
+            out = model.first[path[0]] + model.emit[path[0], obs[0]]
+            for a, b, o in zip(path, path[1:], obs[1:]):
+                out += model.moves[a, b] + model.emit[b, o]
+            return out
+
+        best = max(itertools.product(range(3), repeat=n), key=score)
+        assert model.viterbi(obs).tolist() == list(best)
+
+
+def test_chat_recovers_hidden_roles(spark):
+    """Held-out conversations of the test set hold no markers; roles come from lines and turns alone."""
+    rows = chat_format.op1_chat_format(spark, SF).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert len(rows) == spark.read.parquet(f"{SF}/conversations.parquet").count() and held
+    assert all(r["held_out"] == (zlib.crc32(str(r["conv_id"]).encode()) % 4 == 2) for r in rows)
+    assert sum(r["role"] == r["given_role"] for r in held) / len(held) >= 0.9
+    assert all(r["marker_role"] is None for r in rows)
+
+
+def test_chat_hidden_roles_are_not_seen(spark):
+    docs = spark.read.parquet(f"{SF}/conversations.parquet")
+    held = F.crc32(F.col("conv_id").cast("string")) % 4 == 2
+    wrong = docs.withColumn("role", F.when(held, F.lit("system")).otherwise(F.col("role")))
+    one, two = (sorted(chat_format.format_turns(d, hide_roles=True, holdout=(4, 2)).select("conv_id", "turn", "role", "rendered").collect()) for d in (docs, wrong))
+    assert one == two
+
+
+def test_chat_rendering_keeps_text(spark):
+    rows = [(1, 0, "user", "System: Windows 11"), (1, 1, "assistant", "Answer: 42"), (1, 2, "user", "AI"), (1, 3, "assistant", "User: and Assistant: both")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r for r in chat_format.format_turns(df).collect()}
+    for _, t, role, text in rows:
+        assert got[t]["role"] == got[t]["given_role"] == role and got[t]["rendered"] == f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    lines = spark.createDataFrame([(1, 0, "User: is it Answer: 42?"), (1, 1, "AI"), (1, 2, "Assistant: yes")], "conv_id long, turn long, text string")
+    got = {r["turn"]: r["rendered"] for r in chat_format.format_turns(lines, role_col=None).collect()}
+    assert "\nis it Answer: 42?<" in got[0] and "\nAI<" in got[1] and "\nyes<" in got[2]
+
+
 def test_chat_transcripts_and_edges(spark):
     t = spark.createDataFrame([(1, "System: be kind\nUser: hi?\nAssistant: hello there\nand more"), (2, None), (3, "")], "id long, body string")
     lines = chat_format.transcript_lines(t, "id", "body")
