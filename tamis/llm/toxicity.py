@@ -1,7 +1,7 @@
 """Toxicity scores: a learned lexicon, matched through Levenshtein automata intersected with its trie.
 
-The lexicon is learned from a bounded sample of labelled rows: words, and stems with several endings, whose document
-frequency differs most between the two labels. Its trie is intersected with the Levenshtein automata of its terms, and the product is made
+The lexicon is learned from a bounded sample of labelled rows: words that mark toxic documents, and stems that
+mark them by several forms in one document. Its trie is intersected with the Levenshtein automata of its terms, and the product is made
 deterministic as it is walked: a state is the set of (trie node, edits so far) that a word's prefix can have reached,
 so an ordinary word dies after a few letters and a misspelled term is caught within its length's edit bound.
 
@@ -24,17 +24,23 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, read, slices
 
-#: Bound of the training sample: labelled rows, and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000
+#: Bound of the training sample: labelled rows, whose whole texts are read.
+SAMPLE_ROWS = 6000
 THRESHOLD = 0.3
-#: A lexicon term has at least so many letters, toxic sample documents, and log-likelihood ratio; at most so many terms.
-MIN_LETTERS, MIN_DOCS, MIN_RATIO, MAX_TERMS = 4, 6, 24.0, 200
+#: A term has at least so many letters, toxic sample documents (of a stem: with two forms), and log-likelihood ratio.
+MIN_LETTERS, MIN_DOCS, MIN_STEM_DOCS, MIN_RATIO = 4, 6, 2, 24.0
+#: Forms of a stem, beyond the first, that count in one document.
+FORMS_COUNTED = 3
 #: It also stands after so many different words, or copied passages would fill the lexicon.
 MIN_BEFORE = 4
 #: So large a share of the sample documents that hold it are toxic.
 MIN_SHARE = 0.8
 #: Letters of a stem, and the distinct words that must begin with it.
-STEM_LETTERS, MIN_FORMS = (4, 5, 6), 4
+STEM_LETTERS, MIN_FORMS = range(4, 9), 4
+#: What a misspelled term counts beside an exact one.
+MISSPELLED = 0.6
+#: One in so many ordinary sample documents may hold a word within a term's edits.
+STRAYS = 2000
 #: Words on either side of a match that are its context.
 CONTEXT = 6
 #: Words whose matches a worker keeps at once.
@@ -54,13 +60,13 @@ def edits_for(term: str) -> int:
 class LexiconAutomaton:
     """Product of the terms' Levenshtein automata and their trie, made deterministic on demand."""
 
-    def __init__(self, terms: list[str]):
-        """Terms that end with ``*`` are stems: they match exactly, whatever follows."""
+    def __init__(self, terms: list[str], edits: list[int] | None = None):
+        """Terms that end with ``*`` are stems: they match exactly, whatever follows. ``edits`` are the terms' bounds, by length if not given."""
         self.children: list[dict[str, int]] = [{}]
         self.term = [-1]
         stems = {k for k, t in enumerate(terms) if t.endswith("*")}
         terms = [t.rstrip("*") for t in terms]
-        self.own = [0 if k in stems else edits_for(t) for k, t in enumerate(terms)]
+        self.own = [0 if k in stems else edits[k] if edits else edits_for(t) for k, t in enumerate(terms)]
         self.stem_at: dict[int, int] = {}
         for k, term in enumerate(terms):
             node = 0
@@ -140,15 +146,19 @@ class LexiconAutomaton:
         return self.accept[state]
 
 
+N_FEATURES = 7
+
+
 def tokens_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
 class Matcher:
-    """Codes of words: 0 no match, 1 a term itself, 2 a misspelled term. Words are matched without marks around them."""
+    """Codes of words: 0 no match, 1 a term itself, 2 a misspelled term, 3 a form of a stem. Words are matched without marks around them."""
 
-    def __init__(self, terms: list[str]):
-        self.automaton = LexiconAutomaton(terms)
+    def __init__(self, terms: list[str], edits: list[int] | None = None):
+        self.terms = terms
+        self.automaton = LexiconAutomaton(terms, edits)
         self.known: dict[str, int] = {}
 
     def codes(self, tokens: list[str]) -> np.ndarray:
@@ -161,14 +171,15 @@ class Matcher:
             code = known.get(t)
             if code is None:
                 found = self.automaton.match(t.strip(MARKS))
-                code = known[t] = 0 if found is None else 1 if found[1] == 0 else 2
+                code = known[t] = 0 if found is None else 2 if found[1] else 3 if self.terms[found[0]].endswith("*") else 1
             out[i] = code
         return out
 
     def features(self, text: str | None) -> np.ndarray:
-        """Constant; abusive matches exact and misspelled, quoted matches (logarithms); share of matches; densest context; whether any."""
+        """Constant; abusive matches (misspelled ones count less) and quoted ones (logarithms); further forms of stems
+        (logarithm); share of matches; densest context; whether any word matches."""
         tokens = tokens_of(text)
-        x = np.zeros(7)
+        x = np.zeros(N_FEATURES)
         x[0] = 1
         if not tokens:
             return x
@@ -176,7 +187,12 @@ class Matcher:
         hits = np.flatnonzero(codes)
         if not len(hits):
             return x
-        exact = fuzzy = quoted = 0.0
+        # one form of a stem alone is chance: it counts from the second on
+        forms = {tokens[i].strip(MARKS) for i in np.flatnonzero(codes == 3).tolist()}
+        x[3] = np.log1p(max(0, len(forms) - 1))
+        if len(forms) == 1:
+            hits = np.flatnonzero((codes == 1) | (codes == 2))
+        abusive = quoted = 0.0
         densest = 0
         for i in hits.tolist():
             lo, hi = max(0, i - CONTEXT), i + CONTEXT + 1
@@ -186,12 +202,11 @@ class Matcher:
             if any(w.strip(MARKS) in ADDRESS for w in around):
                 q *= 0.5
             densest = max(densest, near)
-            quoted += q
-            if codes[i] == 1:
-                exact += 1 - q
-            else:
-                fuzzy += 1 - q
-        x[1:] = np.log1p(exact), np.log1p(fuzzy), np.log1p(quoted), np.sqrt(len(hits) / len(tokens)), min(densest, 4), 1
+            weight = 0.0 if codes[i] == 3 else MISSPELLED if codes[i] == 2 else 1.0
+            quoted += q * weight
+            abusive += (1 - q) * weight
+        x[1:3] = np.log1p(abusive), np.log1p(quoted)
+        x[4:] = np.sqrt(len(hits) / len(tokens)), min(densest, 4), len(hits) > 0
         return x
 
     @staticmethod
@@ -206,11 +221,14 @@ class Matcher:
 def learn_terms(texts: list[str], toxic: np.ndarray) -> list[str]:
     """Words and stems (with ``*``) that mark toxic documents, by the log-likelihood ratio of their document counts.
 
-    Words of the toxic documents that a stem covers follow after these: the stem reads them exactly, and they bring their own edits.
+    A word counts in the documents that hold it, a stem by the forms beyond the first that a document holds. Of nested stems
+    the one of the highest ratio stays, of equals the longest. Words of the toxic documents that a stem covers follow
+    after these: the stem reads them exactly, and they bring their own edits.
     """
     by = [Counter(), Counter()]
     before: dict[str, set[str]] = {}
     forms: dict[str, set[str]] = {}
+    several: Counter = Counter()
     seen: set[tuple] = set()
     total = [0, 0]
     for t, y in zip(texts, toxic):
@@ -220,31 +238,64 @@ def learn_terms(texts: list[str], toxic: np.ndarray) -> list[str]:
         total[int(y)] += 1
         words = [x.strip(MARKS) for x in tokens_of(t)]
         own = {w for w in words if len(w) >= MIN_LETTERS and w.isalpha()}
-        stems = {w[:k] + "*" for w in own for k in STEM_LETTERS if len(w) > k}
-        by[int(y)].update(own | stems)
+        held = Counter(w[:k] + "*" for w in own for k in STEM_LETTERS if len(w) > k)
+        stems = {w: min(FORMS_COUNTED, n - 1) for w, n in held.items() if n > 1}
+        by[int(y)].update(own)
+        by[int(y)].update(stems)
         if y:
+            several.update(stems.keys())
             for a, w in zip(["", *words], words):
                 if w in own:
                     before.setdefault(w, set()).add(a)
-                    for k in STEM_LETTERS:
-                        if len(w) > k:
-                            before.setdefault(w[:k] + "*", set()).add(a)
-                            forms.setdefault(w[:k] + "*", set()).add(w)
+            for w in own:
+                for k in STEM_LETTERS:
+                    if w[:k] + "*" in stems:
+                        forms.setdefault(w[:k] + "*", set()).add(w)
     n0, n1 = total
     found = []
     for w, a in by[1].items():
         b = by[0][w]
-        if a < MIN_DOCS or a < MIN_SHARE * (a + b) or len(before[w]) < max(MIN_BEFORE, min(a // 4, 12)) or w[-1] == "*" and len(forms[w]) < MIN_FORMS:
+        stem = w[-1] == "*"
+        if (several[w] < MIN_STEM_DOCS if stem else a < MIN_DOCS) or a < MIN_SHARE * (a + b):
+            continue
+        if len(forms[w]) < MIN_FORMS if stem else len(before[w]) < max(MIN_BEFORE, min(a // 4, 12)):
             continue
         toxic_if_even = (a + b) * n1 / (n0 + n1)
         ratio = 2 * (a * np.log(a / toxic_if_even) + (b * np.log(b / (a + b - toxic_if_even)) if b else 0.0))
         if ratio >= MIN_RATIO:
-            found.append((-ratio, w))
-    stems = {w[:-1] for _, w in found if w[-1] == "*"}
-    own = [(z, w) for z, w in found if not any(w[:k] in stems for k in range(1, len(w.rstrip("*")) + (w[-1] != "*")))]
-    terms = [w for _, w in sorted(own)[:MAX_TERMS]]
-    covered = {w for _, w in found if w[-1] != "*"}.difference(w for _, w in own).union(*(forms[w] for w in terms if w[-1] == "*"))
-    return terms + sorted(covered)
+            found.append((-ratio, -len(w), w))
+    stems: list[str] = []
+    for _, _, w in sorted(x for x in found if x[2][-1] == "*"):
+        if not any(w[:-1].startswith(s[:-1]) or s[:-1].startswith(w[:-1]) for s in stems):
+            stems.append(w)
+    roots = tuple(s[:-1] for s in stems)
+    words = [w for _, _, w in sorted(found) if w[-1] != "*"]
+    own = [w for w in words if not (roots and w.startswith(roots))]
+    covered = {w for w in words if roots and w.startswith(roots)}.union(*(forms[s] for s in stems))
+    return own + stems + sorted(covered)
+
+
+def learn_edits(terms: list[str], texts: list[str], toxic: np.ndarray) -> list[int]:
+    """Edits of every term: by its length, but fewer where the words so near to it are ordinary ones.
+
+    A number of edits is kept while the sample's documents that hold a word at that distance are toxic in their
+    majority, or no more than one in :data:`STRAYS` of the others holds one.
+    """
+    edits = [0 if t.endswith("*") else edits_for(t) for t in terms]
+    docs = [({w.strip(MARKS) for w in tokens_of(t)}, int(y)) for t, y in set(zip(texts, toxic))]
+    strays = sum(1 - y for _, y in docs) / STRAYS
+    while True:
+        automaton, counts, known = LexiconAutomaton(terms, edits), Counter(), {}
+        for words, y in docs:
+            for w in words:
+                if w not in known:
+                    known[w] = automaton.match(w)
+            counts.update({(*known[w], y) for w in words if known[w] and known[w][1]})
+        bad = [(k, e) for k, e in {(k, e) for k, e, _ in counts} if counts[k, e, 0] > strays and counts[k, e, 0] >= counts[k, e, 1]]
+        if not bad:
+            return edits
+        for k, e in bad:
+            edits[k] = min(edits[k], e - 1)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.5) -> np.ndarray:
@@ -260,35 +311,36 @@ def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0
 
 
 class ToxicityModel:
-    def __init__(self, terms: list[str], weights: np.ndarray):
-        self.terms, self.weights = terms, weights
+    def __init__(self, terms: list[str], weights: np.ndarray, edits: list[int] | None = None):
+        self.terms, self.weights, self.edits = terms, weights, edits
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", holdout: tuple[int, int] = (4, 2), rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fits lexicon and weights on at most ``rows`` labelled rows outside the held-out fold, in the order of a hash of the id.
 
-    Only the first :data:`SAMPLE_CHARS` characters of sample texts are read; scoring reads whole texts. Without
-    labelled rows the lexicon is empty and every score is one half of the threshold.
+    Whole texts are read, here and in scoring. Without labelled rows the lexicon is empty and every score is one
+    half of the threshold.
     """
     usable = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & (crc_of_id(id_col) % holdout[0] != holdout[1]))
     pick = usable.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(id_col, F.lit("fit")).alias("k")).distinct().orderBy("k", "toxic").limit(rows)
-    sample = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(pick), "id").orderBy("k", "toxic", "text").limit(rows).select("text", "toxic").collect()
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id").orderBy("k", "toxic", "text").limit(rows).select("text", "toxic").collect()
     texts, y = [r["text"] for r in sample], np.array([float(r["toxic"] > 0) for r in sample])
     if not len(y) or y.min() == y.max():
-        return ToxicityModel([], np.array([np.log(THRESHOLD / 2 / (1 - THRESHOLD / 2)), *[0.0] * 6]))
+        return ToxicityModel([], np.array([np.log(THRESHOLD / 2 / (1 - THRESHOLD / 2)), *[0.0] * (N_FEATURES - 1)]))
     terms = learn_terms(texts, y)
-    matcher = Matcher(terms)
-    return ToxicityModel(terms, fit_weights(np.stack([matcher.features(t) for t in texts]), y))
+    edits = learn_edits(terms, texts, y)
+    matcher = Matcher(terms, edits)
+    return ToxicityModel(terms, fit_weights(np.stack([matcher.features(t) for t in texts]), y), edits)
 
 
 _matchers: dict[int, Matcher] = {}
 
 
-def _matcher(terms: list[str]) -> Matcher:
-    key = zlib.crc32("\n".join(terms).encode())
+def _matcher(model: ToxicityModel) -> Matcher:
+    key = zlib.crc32(repr((model.terms, model.edits)).encode())
     if key not in _matchers:
         _matchers.clear()
-        _matchers[key] = Matcher(terms)
+        _matchers[key] = Matcher(model.terms, model.edits)
     return _matchers[key]
 
 
@@ -298,11 +350,11 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     Null and empty texts have no match, and get the score of a text without one. Repeated rows get equal rows;
     an empty table gives none; extra columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS words and stems, and the sample's words that these stems cover
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words and stems of the sample, which is bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        matcher = _matcher(model.terms)
+        matcher = _matcher(model)
         for whole in batches:
             for batch in slices(whole):
                 x = np.stack([matcher.features(t) for t in batch.column("text").to_pylist()])

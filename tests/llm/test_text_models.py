@@ -161,10 +161,27 @@ def test_toxicity(spark, make_docs):
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in labels)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_held_out(spark, sf):
+    d = f"/root/testdata/{sf}"
+    rows = toxicity.op7_toxicity(spark, d).filter("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    toxic, found = [r for r in rows if r["toxic"]], [r for r in rows if r["predicted"]]
+    assert sum(r["predicted"] for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r["toxic"] for r in found) >= 0.9 * len(found) and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_toxicity_reads_whole_long_texts(spark, make_docs):
+    rows, labels = toxic_rows()
+    model = toxicity.train(make_docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    long = "bag lamp " * 60_000
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(make_docs([(1, long), (2, long + "idiot worthless moron " * 20)]), model).collect()}
+    assert got[2] > got[1]
+
+
 def test_quotation_lowers_abuse():
     m = toxicity.Matcher(["idiot"])
     plain, quoted = m.features("he is an idiot and more of it"), m.features('they said "what an idiot" and more of it')
-    assert plain[1] > quoted[1] and quoted[3] > plain[3]
+    assert plain[1] > quoted[1] and quoted[2] > plain[2]
 
 
 def test_toxicity_without_labels(spark, make_docs):
