@@ -46,7 +46,7 @@ class Phrases:
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
         found: dict[tuple, set[int]] = {}
-        self.items = [str(i) for i, _ in items]
+        self.items = ["" if i is None else str(i) for i, _ in items]
         for k, (_, text) in enumerate(items):
             w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words_of(text)]
             for at in range(max(1, len(w) - window + 1) if w else 0):
@@ -279,7 +279,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the merged spans.
 
     Null or empty texts: no words, not contaminated. Repeated rows give equal rows; null item texts are no items;
-    an empty benchmark hits nothing; extra columns are ignored.
+    an item without an id counts under the empty id; an empty benchmark hits nothing; extra columns are ignored.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     done = verdict(scan(plain, bench))

@@ -11,11 +11,12 @@ thousandth or less at :data:`SHARD_PIECES`.
 Tokenizing. The vocabulary's pre-tokenizer never joins what white space separates, so ids depend on one
 white-space-delimited word alone: the tokenizer runs once per distinct word of a bounded table. Texts with
 characters outside a plain range (where Unicode rules could differ), or with the text of a special token, are
-encoded whole by the tokenizer itself.
+encoded whole by the tokenizer itself, and so is every text where another vocabulary cuts or cleans words in its own way.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -36,6 +37,17 @@ CACHE_WORDS = 250_000
 #: Texts made only of these characters take the word-wise path.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‟…€]*")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: The steps before the model that the word-wise path stands for, as the vocabulary file writes them.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -53,6 +65,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        told = json.loads(self.whole.to_str())
+        self.wordwise = all(told[k] == v for k, v in STEPS.items())
         self.model = self.whole.model
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = iter(range(256, 512))  # the byte-level alphabet: visible bytes stand for themselves, the rest follow from 256
@@ -69,7 +83,7 @@ class WordTokenizer:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not PLAIN.fullmatch(text) or "<|" in text or not unicodedata.is_normalized("NFC", text):
+        if not self.wordwise or not PLAIN.fullmatch(text) or "<|" in text or not unicodedata.is_normalized("NFC", text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.lower().split()
         known = self.words

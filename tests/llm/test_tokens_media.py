@@ -156,6 +156,57 @@ def test_token_attribution(spark, make_docs):
     assert totals == {73: 41} and token_counts.count_tokens(make_docs([])).collect() == []
 
 
+def plain_attribution(text, ends, enc):
+    """Tokens per section: every token decoded, every character of it dealt, one after another."""
+    raw = text.encode()
+    of_byte = [k for k, c in enumerate(text) for _ in c.encode()]
+    section_of = [next(s for s, e in enumerate(ends) if k < e) for k in range(len(text))]
+    counts, crossing, at = [0] * len(ends), [0] * len(ends), 0
+    for token in enc.encoding.encode_ordinary(text):
+        spelled = enc.encoding.decode_single_token_bytes(token)
+        assert raw[at : at + len(spelled)] == spelled
+        held = {}
+        for k in sorted(set(of_byte[at : at + len(spelled)])):
+            held[section_of[k]] = held.get(section_of[k], 0) + 1
+        owner = min(held, key=lambda s: (-held[s], s))
+        counts[owner] += 1
+        crossing[owner] += len(held) > 1
+        at += len(spelled)
+    return counts, crossing
+
+
+def test_sections_against_plain(spark, make_docs):
+    rng = random.Random(12)
+    alphabet = ["a", "the ", "\n", "\n\n\n", "  ", "é", "漢字", "\t", "x1", ", ", "🙂", "\n  \n"]
+    rows = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 120)))) for i in range(60)] + [(99, "one two\n" * 2000)]
+    enc, by = token_counts.encoder(None), {}
+    for r in token_counts.count_tokens(make_docs(rows)).collect():
+        by.setdefault(r["doc_id"], []).append(r)
+    for i, text in rows:
+        own = sorted(by[i], key=lambda r: r["section"])
+        counts, crossing = plain_attribution(text, [r["char_end"] for r in own], enc)
+        assert [r["n_tokens"] for r in own] == counts and [r["n_crossing"] for r in own] == crossing
+        assert [r["char_start"] for r in own] == [0, *(r["char_end"] for r in own[:-1])]
+
+
+def test_fields_against_plain(spark, make_docs):
+    rows = [(1, "some text\nhere", "en"), (2, None, "fr"), (3, "", None), (4, "é漢字 " * 30, "de")]
+    docs = make_docs(rows).select("doc_id", "text", "lang", "n_chars")
+    enc, got = token_counts.encoder(None), {}
+    for r in token_counts.count_field_tokens(docs, ["lang", "text", "n_chars"], separator="\n\n").collect():
+        got.setdefault(r["doc_id"], {})[r["field"]] = (r["n_tokens"], r["n_crossing"])
+    for i, text, lang in rows:
+        cells = [lang or "", text or "", "" if text is None else str(len(text))]
+        whole, ends, at = "\n\n".join(cells), [], 0
+        for c in cells:
+            at += len(c) + 2
+            ends.append(min(at, len(whole)))
+        ends[-1] = len(whole)
+        counts, crossing = plain_attribution(whole, ends, enc)
+        assert got[i] == dict(zip(["lang", "text", "n_chars"], zip(counts, crossing)))
+    assert token_counts.count_field_tokens(make_docs([]), ["text"]).collect() == []
+
+
 def test_boundary_rule():
     """A token goes to the section with most of its characters, of equals to the first."""
     raw = b"abcdef"
@@ -201,6 +252,18 @@ def test_table_is_balanced_and_stable():
         sharding.fill(["x"], 12)
 
 
+def test_other_vocabularies_are_encoded_whole():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["The Cat's  hat, 12 times", "plain words only", "a\n\nb"]
+    for text in texts:
+        expected = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packing.WordTokenizer(path).encode(text), "<u4").tolist() == expected
+    assert packing.WordTokenizer(packing.vocabulary_path()).wordwise and not packing.WordTokenizer(path).wordwise
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
     from tamis.llm.common import materialize, read
