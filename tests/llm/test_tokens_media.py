@@ -262,17 +262,3 @@ def test_other_vocabularies_are_encoded_whole():
         expected = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
         assert np.frombuffer(packing.WordTokenizer(path).encode(text), "<u4").tolist() == expected
     assert packing.WordTokenizer(packing.vocabulary_path()).wordwise and not packing.WordTokenizer(path).wordwise
-
-
-def test_pipeline(spark):
-    import corpus_pipeline as P
-    from tamis.llm.common import materialize, read
-
-    docs = read(spark, SF, "documents")
-    columns = docs.columns
-    for name, stage in P.STAGES[:-1]:
-        docs = materialize(stage(spark, docs, SF), name)
-        assert docs.columns == columns and docs.count() > 0
-    packed = P.STAGES[-1][1](spark, docs, SF)
-    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
-    assert sorted(map(tuple, P.run(spark, SF).drop("sequence_id", "offset").collect())) == sorted(map(tuple, packed.drop("sequence_id", "offset").collect()))
