@@ -7,6 +7,7 @@ Parquet and read again as the next one's docs. All but the last keep the columns
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tamis.llm import decontamination, language_id, near_dedup, packing, substring_dedup
 from tamis.llm.common import materialize, read
@@ -23,8 +24,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in repeated windows go; every document stays, with the text that is left."""
-    return substring_dedup.cut_repeats(docs)
+    """Words in repeated windows go; every document stays, with the text that is left and its length."""
+    cut = substring_dedup.cut_repeats(docs)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast(cut.schema["n_chars"].dataType), "n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
