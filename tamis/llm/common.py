@@ -6,11 +6,15 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows per Arrow batch while a work table is written; documents can be long, so batches are kept short.
+ROWS_PER_BATCH = 1000
 #: Text bytes that a Python stage works on at once (a single longer document is taken alone).
 SLICE_BYTES = 4 << 20
 
@@ -40,10 +44,23 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of :data:`ROWS_PER_BATCH` rows for what runs inside; the session's own setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(ROWS_PER_BATCH, int(before)) if int(before) > 0 else ROWS_PER_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to a shared folder and reads it back: lineage ends there and lost executors cost no recomputation."""
     path = work_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with short_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tamis_path = path
     return out
@@ -99,10 +116,9 @@ def crc_of_id(id_col: str = "doc_id") -> Column:
 
 def slices(batch: pa.RecordBatch, text_col: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose texts hold about ``limit`` bytes together."""
-    lengths = batch.column(text_col).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
     start = total = 0
-    for i, text in enumerate(lengths):
-        n = len(text) if text else 0
+    for i, n in enumerate(lengths):
         if i > start and total + n > limit:
             yield batch.slice(start, i - start)
             start, total = i, 0

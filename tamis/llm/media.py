@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, materialize, read, slices, work_dir
+from .common import apart, materialize, read, short_batches, slices, work_dir
 
 #: Payload lengths are positive multiples of this (a 24 x 24 frame of 8-bit samples).
 UNIT, FILL = 576, b"\xff"
@@ -127,7 +127,8 @@ class ChunkStore:
         once = chunks.groupBy("digest").agg(F.first("data").alias("data"))
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"tamis_chunks_{uuid.uuid4().hex}"
-        once.write.bucketBy(buckets, "digest").option("path", work_dir(self.spark, "chunks")).saveAsTable(name)
+        with short_batches(self.spark):
+            once.write.bucketBy(buckets, "digest").option("path", work_dir(self.spark, "chunks")).saveAsTable(name)
         self.parts.append(self.spark.table(name))
 
     def find(self, refs: DataFrame) -> DataFrame:
