@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Type factors, thresholds, context patterns and section key words.
 TYPE_FACTORS = {"circular": 1.1, "rectangular": 1.0, "symbol": 0.9, "form_widget": 1.2}
+MAX_TABLES = 10
 OTHER_TYPE, NMS_IOU, MAX_PER_PAGE, MAX_VALID, DENSE_TOTAL = 0.9, 0.5, 30, 40, 100
 CONTEXT_PATTERNS = [r"\b(?:oui|non|yes|no)\b", r"\b(?:cocher|check|tick|select)\b", r"[□■☐☑✓✔✕✖✗✘]", r"\[\s*\]|\(\s*\)", r"\b(?:option|choix|choice)\b"]
 FORM_SECTIONS = {
@@ -26,6 +27,12 @@ FORM_SECTIONS = {
 BOX = ["x", "y", "width", "height"]
 
 
+def detection_top_k(boxes: DataFrame, most: int = MAX_TABLES) -> DataFrame:
+    """The most confident detections of every page, which is what suppression then sees; ranks are cut within tasks first."""
+    w = Window.partitionBy("doc_id", "page").orderBy(F.desc("confidence"), F.asc("box_id"))
+    return boxes.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).drop("rn")
+
+
 def iou(a: str, b: str) -> Column:
     """Overlap over union of two boxes given by column prefixes."""
     x = lambda p: F.col(f"{p}x")

@@ -124,6 +124,39 @@ def update_fields(existing: DataFrame, changes: DataFrame, key: str, allowed: li
     return upsert(existing, changes.select(key, *(c for c in changes.columns if c in allowed)), key)
 
 
+def stamped(old: DataFrame, new: DataFrame, key: str, now: Column) -> DataFrame:
+    """The new rows, with updated_at set to ``now`` where any other column differs from the old row, or the row is new."""
+    cols = [c for c in new.columns if c not in (key, "updated_at")]
+    before = old.select(key, F.struct(*cols).alias("__old"), F.col("updated_at").alias("__at"))
+    rows = new.drop("updated_at").join(before, key, "left")
+    same = F.col("__at").isNotNull() & F.struct(*cols).eqNullSafe(F.col("__old"))
+    return rows.withColumn("updated_at", F.when(same, F.col("__at")).otherwise(now)).drop("__old", "__at")
+
+
+CONTEXT = "history array<struct<query:string,response:string,timestamp:timestamp>>, metadata map<string,string>"
+
+
+def update_contexts(contexts: DataFrame, changes: DataFrame, now: Column, keep: int = KEPT_PAIRS) -> DataFrame:
+    """Session contexts (session_id, history, metadata) after one change each (session_id, query, response, metadata).
+
+    A change with both query and response appends the pair, of which the last ``keep`` stay; metadata are merged, the
+    change's on top; adds total_interactions and last_updated. Sessions without a change stay as they are; changes of
+    unknown sessions go.
+    """
+    c = changes.select("session_id", F.col("query").alias("__q"), F.col("response").alias("__r"), F.col("metadata").alias("__m"), F.lit(True).alias("__changed"))
+    rows = contexts.join(c, "session_id", "left")
+    pair = F.struct(F.col("__q").alias("query"), F.col("__r").alias("response"), now.alias("timestamp"))
+    full = F.when(F.col("__q").isNotNull() & F.col("__r").isNotNull(), F.concat("history", F.array(pair))).otherwise(F.col("history"))
+    last = F.slice(full, F.greatest(F.lit(1), F.size(full) - keep + 1), F.lit(keep))
+    none = F.create_map().cast("map<string,string>")
+    changed = F.col("__changed").isNotNull()
+    return rows.select(
+        "session_id", F.when(changed, last).otherwise(F.col("history")).alias("history"),
+        F.when(changed, merge_maps(F.coalesce("metadata", none), F.coalesce("__m", none))).otherwise(F.col("metadata")).alias("metadata"),
+        F.size(F.when(changed, last).otherwise(F.col("history"))).alias("total_interactions"), F.when(changed, now).alias("last_updated"),
+    )
+
+
 def delete_cascade(parents: DataFrame, children: DataFrame, key: str, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parents and children without the deleted keys."""
     return parents.join(gone.select(key), key, "left_anti"), children.join(gone.select(key), key, "left_anti")

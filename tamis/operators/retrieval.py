@@ -55,13 +55,16 @@ def field_stats(docs: DataFrame, fields: dict[str, Column], tokens: Callable[[Co
 
 def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, Column], boosts: dict[str, float] | None = None, all_terms: bool = True, tokens: Callable[[Column], Column] = ascii_tokens) -> DataFrame:
     """query_id, doc_id, score: best field per document (boosted), all query terms required in that field if asked."""
-    boosts = boosts or {}
     terms = query_terms(queries, tokens)
     found = queries.limit(MAX_QUERIES + 1).select(F.explode(F.array_distinct(tokens(F.col("query")))).alias("t"), "query_id").collect()
     if len({r["query_id"] for r in found}) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries at once; pass them in several frames")
-    post = postings(docs, sorted({r["t"] for r in found}), fields, tokens)
-    stats = field_stats(docs, fields, tokens)
+    return scored_postings(postings(docs, sorted({r["t"] for r in found}), fields, tokens), field_stats(docs, fields, tokens), terms, boosts, all_terms)
+
+
+def scored_postings(post: DataFrame, stats: DataFrame, terms: DataFrame, boosts: dict[str, float] | None, all_terms: bool) -> DataFrame:
+    """BM25 over postings of the queries' terms (doc_id, field, dl, term, tf) and statistics of the fields."""
+    boosts = boosts or {}
     frequency = post.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
@@ -83,6 +86,25 @@ def phrase_boost(scored: DataFrame, docs: DataFrame, queries: DataFrame, boost:
     return both.select("query_id", "doc_id", (F.col("score") + F.when(F.contains("flat", "phrase"), boost).otherwise(0.0)).alias("score"))
 
 
+def bool_search(docs: DataFrame, queries: DataFrame, fields: dict[str, Column], boosts: dict[str, float] | None = None, filters: dict | None = None, vector: list[float] | None = None, minimum_should: int = 0, tokens: Callable[[Column], Column] = ascii_tokens) -> DataFrame:
+    """must (all terms in one field), should (the phrase; closeness to a vector) and filter in one search.
+
+    Filters don't change how terms are weighted. Scores of the clauses that match add up; with
+    ``minimum_should`` a document needs so many matching should clauses (a given vector matches every document with an embedding).
+    """
+    kept = metadata_filter(docs, filters or {})
+    base = bm25(docs, queries, fields, boosts, True, tokens)
+    padded = lambda text: F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+    q = F.array(*(F.lit(float(x)) for x in vector)) if vector else None
+    near = F.when(F.col("embedding").isNotNull(), cosine(F.col("embedding"), q) + 1.0) if vector else F.lit(None).cast("double")
+    side = kept.select("doc_id", padded(F.col("content")).alias("flat"), near.alias("near"))
+    phrase = queries.select("query_id", padded(F.col("query")).alias("phrase"))
+    rows = base.join(side, "doc_id").join(F.broadcast(phrase), "query_id")
+    hit = F.when(F.contains("flat", "phrase"), 1).otherwise(0)
+    rows = rows.select("query_id", "doc_id", (F.col("score") + 2.0 * hit + F.coalesce("near", F.lit(0.0))).alias("score"), (hit + F.col("near").isNotNull().cast("int")).alias("should"))
+    return rows.filter(F.col("should") >= minimum_should).drop("should")
+
+
 def top_k(scored: DataFrame, k: int, by: list[Column], group: list[str] | None = None) -> DataFrame:
     """The first ``k`` rows of each group. Ranks are cut within tasks first (WindowGroupLimit), so groups don't gather."""
     if not group:

@@ -186,6 +186,25 @@ def header_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(F.size(a) != F.size(b), 0.0).otherwise(F.size(F.filter(close, lambda c: c)) / F.size(a))
 
 
+def export_types(cells: DataFrame) -> DataFrame:
+    """table_id, col_idx, type that an export stores a column as, after blank rows and columns are dropped.
+
+    A column whose every cell is a number gets the least integer type that holds it, or float; a text column with
+    fewer distinct values than half its rows is a category, another one text.
+    """
+    n = F.expr("try_cast(trim(value) AS double)")
+    rows = cells.filter("value is not null").select("table_id", "row_idx").distinct().groupBy("table_id").agg(F.count("*").alias("n_rows"))
+    g = cells.groupBy("table_id", "col_idx").agg(
+        F.count("value").alias("filled"), F.count(n).alias("numbers"), F.count_distinct("value").alias("different"),
+        F.count_if(n % 1 == 0).alias("whole"), F.min(n).alias("low"), F.max(n).alias("high"),
+    ).filter("filled > 0").join(rows, "table_id")
+    integer = F.lit("int64")
+    for bits in (32, 16, 8):
+        integer = F.when((F.col("low") >= -(2 ** (bits - 1))) & (F.col("high") < 2 ** (bits - 1)), f"int{bits}").otherwise(integer)
+    kind = F.when(F.col("numbers") == F.col("n_rows"), F.when(F.col("whole") == F.col("n_rows"), integer).otherwise("float"))
+    return g.select("table_id", "col_idx", kind.otherwise(F.when(F.col("different") < F.col("n_rows") * 0.5, "category").otherwise("text")).alias("type"))
+
+
 def string_similarity(a: Column, b: Column) -> Column:
     """Characters of the first that the second holds, over the longer length."""
     return F.size(F.filter(F.split(a, ""), lambda c: (c != "") & F.contains(b, c))) / F.greatest(F.length(a), F.length(b), F.lit(1))

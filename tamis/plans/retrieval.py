@@ -95,19 +95,23 @@ def score_normalise(spark, d):
     return R.normalise(_vectors(spark, d, "script", 25), ["query_id"]).withColumn("norm_score", F.round("norm_score", 6))
 
 
-def _bm25_sql(all_terms: bool, boost: float, fields: str = "('title'), ('content')") -> str:
+def _ascii_sql(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
+
+
+def _bm25_sql(all_terms: bool, boost: float, fields: str = "('title'), ('content')", corpus: str = _CORPUS, values: str = _VALUES, tokens=_ascii_sql, score: str = "round(max(s), 6)") -> str:
     return f"""
-WITH c AS ({_CORPUS}),
-f AS (SELECT doc_id, fl.field, regexp_extract_all(lower(CASE WHEN fl.field = 'title' THEN title ELSE content END), '[a-z0-9]+') AS t FROM c, (VALUES {fields}) AS fl(field)),
+WITH c AS ({corpus}),
+f AS (SELECT doc_id, fl.field, {tokens("CASE WHEN fl.field = 'title' THEN title ELSE content END")} AS t FROM c, (VALUES {fields}) AS fl(field)),
 s AS (SELECT field, count(*) AS n_docs, avg(len(t)) AS avg_dl FROM f WHERE len(t) > 0 GROUP BY field),
-q AS (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS terms FROM (VALUES {_VALUES}) AS x(query_id, query)),
+q AS (SELECT query_id, list_distinct({tokens("query")}) AS terms FROM (VALUES {values}) AS x(query_id, query)),
 qt AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n_terms FROM q),
 p AS (SELECT doc_id, field, dl, term, count(*) AS tf FROM (SELECT doc_id, field, len(t) AS dl, unnest(t) AS term FROM f) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 df AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL),
 w AS (SELECT p.*, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl)) * CASE WHEN p.field = 'title' THEN {boost} ELSE 1.0 END AS w
  FROM p JOIN df ON p.field = df.field AND p.term = df.term JOIN s ON p.field = s.field),
 m AS (SELECT query_id, doc_id, field, n_terms, sum(w) AS s, count(*) AS matched FROM w JOIN qt USING (term) GROUP BY ALL),
-r AS (SELECT query_id, doc_id, round(max(s), 6) AS score FROM m {'WHERE matched = n_terms' if all_terms else ''} GROUP BY ALL)"""
+r AS (SELECT query_id, doc_id, {score} AS score FROM m {'WHERE matched = n_terms' if all_terms else ''} GROUP BY ALL)"""
 
 
 _TOP = "SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM {r}) WHERE rn <= {k}"
@@ -281,17 +285,39 @@ def context_prompt_section(spark, d):
     return R.context_section(rows)
 
 
-@register("semantic_strategy")
+#: Any term, exact scores, and these over the query's greatest.
+_NORM = ", n AS (SELECT query_id, doc_id, score, score / coalesce(nullif(max(score) OVER (PARTITION BY query_id), 0), 1) AS norm FROM r)"
+_JOINED = _CORPUS.replace("FROM documents", "FROM documents JOIN embeddings ON vec_id = doc_id")
+_MEANT = f"""s20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY norm DESC, doc_id) AS rn FROM n) WHERE rn <= 20),
+sem AS (SELECT query_id, doc_id, least(1.0, least(1.0, 0.3 * norm + 0.4 * ({_JAC})) * (1 + 0.1 * {_EXACT})) AS score FROM s20 JOIN documents USING (doc_id))"""
+
+
+def _any_sql(corpus: str = _CORPUS) -> str:
+    return _bm25_sql(False, 1.0, "('content')", corpus=corpus, score="max(s)") + _NORM
+
+
+@register("semantic_strategy", _any_sql() + f", {_MEANT} SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM sem WHERE score >= 0.1) WHERE rn <= 10")
 def semantic_strategy(spark, d):
-    return R.search(spark, "semantic", corpus(spark, d), asked(spark), _concepts(), max_docs=10, min_score=0.1)
+    found = R.search(spark, "semantic", corpus(spark, d), asked(spark), _concepts(), max_docs=10, min_score=0.1)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+_FLAT = "list_dot_product(embedding::DOUBLE[], list_transform(range(64), lambda i: 0.125::DOUBLE)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))"
 
 
-@register("hybrid_strategy")
+@register("hybrid_strategy", _any_sql(_JOINED) + f""", e AS (SELECT vec_id AS doc_id, {_FLAT} AS cos FROM embeddings),
+rag AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM (SELECT query_id, doc_id, 0.7 * norm + 0.3 * cos AS score FROM n JOIN e USING (doc_id)) WHERE score >= 0) WHERE rn <= 10),
+{_MEANT}, sem10 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM sem WHERE score >= 0) WHERE rn <= 10),
+b AS (SELECT query_id, doc_id, CASE WHEN a.score IS NOT NULL AND z.score IS NOT NULL THEN 0.5 * a.score + 0.5 * z.score ELSE coalesce(a.score, z.score) END AS score FROM rag a FULL JOIN sem10 z USING (query_id, doc_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM b JOIN e USING (doc_id)),
+x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (rn - 1) // 3, 0.7 * score + 0.3 * cos DESC, rn) AS new_rank FROM k)
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(new_rank AS BIGINT) AS new_rank FROM x WHERE score >= 0.1 AND new_rank <= 10""")
 def hybrid_strategy(spark, d):
     docs = corpus(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    return R.search(spark, "hybrid", docs, asked(spark), [0.125] * 64, _concepts(), max_docs=10, min_score=0.1)
+    found = R.search(spark, "hybrid", docs, asked(spark), [0.125] * 64, _concepts(), max_docs=10, min_score=0.1)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("new_rank").cast("long").alias("new_rank"))
 
 
-@register("fallback_search")
+@register("fallback_search", _any_sql() + " SELECT query_id, doc_id, round(norm, 6) AS norm_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY norm DESC, doc_id) AS rn FROM n WHERE norm >= 0.1) WHERE rn <= 5")
 def fallback_search(spark, d):
-    return R.fallback_search(corpus(spark, d), asked(spark))
+    return R.fallback_search(corpus(spark, d), asked(spark)).select("query_id", "doc_id", F.round("norm_score", 6).alias("norm_score"))

@@ -35,7 +35,7 @@ _CLEAN = f"regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '[ \\t\\n\\r]{
 _CLEAN = f"array_to_string(list_filter(list_transform(string_split({_CLEAN}, chr(10)), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> ''), chr(10))"
 
 
-@register("clean_text")
+@register("clean_text", f"SELECT doc_id, {_CLEAN} AS cleaned FROM documents")
 def clean_text(spark, d):
     return made(spark, d).select("doc_id", T.clean(F.col("content")).alias("cleaned"))
 

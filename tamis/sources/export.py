@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +91,53 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
+def csv_zips(cells: DataFrame, stamp: str = "") -> DataFrame:
+    """doc_id, filename and content of one ZIP archive per document: its tables as CSV with a header, and a README.
+
+    ``cells`` also has doc_id. Nulls are empty cells. A document's tables are gathered as CSV bodies, never the table of all cells.
+    """
+    names = cells.groupBy("doc_id", "table_id", "col_idx").agg(F.max("col_name").alias("value")).withColumn("row_idx", F.lit(-1))
+    rows = cells.select("doc_id", "table_id", "row_idx", "col_idx", "value").unionByName(names)
+    docs = cells.select("doc_id", "table_id").distinct()
+    bodies = csv_body(rows).join(docs, "table_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("table_id", "body"))).alias("tables"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc, tables in zip(b["doc_id"], b["tables"]):
+                buf = io.BytesIO()
+                with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+                    for i, t in enumerate(tables):
+                        z.writestr(zipfile.ZipInfo(f"table_{i + 1}.csv"), t["body"] + "\n", zipfile.ZIP_DEFLATED)
+                    z.writestr(zipfile.ZipInfo("README.txt"), f"Tables: {len(tables)}\nDate: {stamp}\nFormat: CSV\nEncoding: UTF-8\nSeparator: ,\n", zipfile.ZIP_DEFLATED)
+                out.append((doc, f"{doc}.zip", buf.getvalue()))
+            yield pd.DataFrame(out, columns=["doc_id", "filename", "content"])
+
+    return bodies.mapInPandas(run, f"doc_id {bodies.schema['doc_id'].dataType.simpleString()}, filename string, content binary")
+
+
+def zip_entries(zips: DataFrame) -> DataFrame:
+    """doc_id, name and number of lines of every entry of the archives, read back from their bytes."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc, content in zip(b["doc_id"], b["content"]):
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    out += [(doc, name, z.read(name).decode().count("\n")) for name in z.namelist()]
+            yield pd.DataFrame(out, columns=["doc_id", "name", "n_lines"])
+
+    return zips.select("doc_id", "content").mapInPandas(run, f"doc_id {zips.schema['doc_id'].dataType.simpleString()}, name string, n_lines long")
+
+
+def purge_old(spark, path: str, hours: float) -> int:
+    """Deletes the files that :func:`old_files` finds, one listing row at a time, and returns their number."""
+    jvm, n = spark._jvm, 0
+    for r in old_files(spark, path, hours).select("path").toLocalIterator():
+        p = jvm.org.apache.hadoop.fs.Path(r["path"])
+        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False))
+    return n
+
+
 def result(cells: DataFrame, form: str) -> DataFrame:
     """A result in the format asked for: raw cells, records, csv or html."""
     if form == "raw":

@@ -37,6 +37,31 @@ def decode(files: DataFrame, decoder: Callable[[bytes], list[str]]) -> DataFrame
     return files.select("path", "content").mapInPandas(run, "path string, page long, text string, error string")
 
 
+METADATA = ["title", "author", "subject", "creator", "producer", "creation_date", "modification_date", "pages"]
+
+
+def metadata(files: DataFrame, reader: Callable[[bytes], dict]) -> DataFrame:
+    """path, metadata and error of every file: a reader gives a file's properties; absent ones are empty, unknown ones go."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, content in zip(b["path"], b["content"]):
+                try:
+                    found = reader(bytes(content))
+                    out.append((path, {k: str(found.get(k) or "") for k in METADATA}, None))
+                except Exception as e:  # noqa: BLE001  whatever a plug-in raises is reported beside the file
+                    out.append((path, {}, str(e)))
+            yield pd.DataFrame(out, columns=["path", "metadata", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, metadata map<string,string>, error string")
+
+
+def scan_summary(decoded: DataFrame) -> DataFrame:
+    """Files read and files that failed, of a decoded scan: one row."""
+    each = decoded.groupBy("path").agg(F.max(F.col("error").isNotNull()).alias("bad"))
+    return each.agg(F.count_if(~F.col("bad")).alias("ok"), F.count_if("bad").alias("failed"))
+
+
 def plain_text(content: bytes) -> list[str]:
     """Decoder of text files: form feeds part pages."""
     return content.decode("utf-8", "replace").split("\f")
