@@ -136,15 +136,51 @@ def form_rows(cells: DataFrame) -> DataFrame:
     return cells.select("table_id", "row_idx", normalise_key(F.col("col_name")).alias("key"), F.when(v.isin("oui", "yes", "true"), "true").when(v.isin("non", "no", "false"), "false").otherwise(F.col("value")).alias("value"))
 
 
+def _last_by(entries: Column, key: str) -> Column:
+    """Entries whose key no later one has."""
+    later = lambda x, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y[key] == x[key])
+    return F.filter(entries, lambda x, i: ~later(x, i))
+
+
+def _map(entries: Column, key: str, value: str) -> Column:
+    plain = F.transform(_last_by(entries, key), lambda x: F.struct(x[key].alias("key"), x[value].alias("value")))
+    return F.when(F.size(entries) > 0, F.map_from_entries(plain))
+
+
 def assemble(cells: DataFrame) -> DataFrame:
-    """Per document: header fields, number of items, their total, and totals by label."""
-    roles = table_names(cells).select("table_id", invoice_role(F.col("names"), F.col("n_rows")).alias("role"))
-    known = cells.join(roles, "table_id")
-    docs = cells.select("table_id", "doc_id").distinct()
-    head = first_row_fields(known.filter("role = 'header'"), HEADER_FIELDS).join(docs, "table_id").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("header"))
-    items = line_items(known.filter("role = 'line_items'")).join(docs, "table_id").groupBy("doc_id").agg(F.count("*").alias("item_count"), F.sum(F.coalesce("total", F.lit(0.0))).alias("total_amount"))
-    sums = totals(known.filter("role = 'totals'")).join(docs, "table_id").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "amount"))).alias("totals"))
-    return cells.select("doc_id").distinct().join(head, "doc_id", "left").join(items, "doc_id", "left").join(sums, "doc_id", "left").fillna({"item_count": 0, "total_amount": 0.0})
+    """Per document: header fields, number of items, their total, and totals by label.
+
+    One pass over the cells, summed up by row, then by table, then by document, each within tasks before it moves:
+    a row keeps what each of the three kinds of table would take from it, and the table's kind picks.
+    """
+    role, name, value = column_role(F.col("col_name")), F.lower("col_name"), F.lower(F.coalesce("value", F.lit("")))
+    by_name, by_value = holds_any(name, TOTAL_LABEL), holds_any(value, TOTAL_LABEL)
+    is_amount = ~by_name & ~by_value & F.coalesce(F.col("value").rlike(r"\d+[,.]\d+"), F.lit(False))
+    label = F.when(by_name, F.col("col_name")).when(by_value, F.col("value"))
+    field = F.struct("col_idx", first_role(name, HEADER_FIELDS, F.col("col_name")).alias("field"), F.coalesce("value", F.lit("")).alias("value"))
+    rows = cells.groupBy("doc_id", "table_id", "row_idx").agg(
+        F.array_sort(F.collect_list(F.struct("col_idx", name.alias("name")))).alias("names"),  # a row's columns
+        F.max_by("value", F.when(role == "total", F.col("col_idx"))).alias("total"), F.max(role == "total").alias("has_total"),
+        F.max_by(label, F.when(by_name | by_value, F.col("col_idx"))).alias("label"), F.max_by("value", F.when(is_amount, F.col("col_idx"))).alias("v"), F.max(is_amount).alias("has_amount"),
+        F.array_sort(F.collect_list(F.when(F.col("row_idx") == 0, field))).alias("head"),
+    )
+    sums = F.when(F.col("label").isNotNull() & F.col("has_amount"), F.struct("row_idx", total_label(F.col("label")).alias("label"), amount(F.col("v")).alias("amount")))
+    tables = rows.groupBy("doc_id", "table_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("names"), F.count("*").alias("n_rows"),
+        F.sum(F.when(F.col("has_total"), amount(F.col("total"))).otherwise(0.0)).alias("total"),
+        F.max_by("head", F.when(F.col("row_idx") == 0, 1)).alias("head"), F.array_sort(F.collect_list(sums)).alias("sums"),
+    )
+    first = F.filter("names", lambda x, i: (i == 0) | (F.element_at("names", F.greatest(i, F.lit(1)))["col_idx"] != x["col_idx"]))
+    kind = invoice_role(F.array_join(F.transform(first, lambda x: x["name"]), " "), F.col("n_rows"))
+    tables = tables.withColumn("kind", kind)
+    of = lambda k, c: F.when(F.col("kind") == k, F.col(c))
+    docs = tables.groupBy("doc_id").agg(
+        F.sum(of("line_items", "n_rows")).alias("item_count"), F.sum(of("line_items", "total")).alias("total_amount"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "header", F.struct("table_id", "head")))), lambda x: x["head"])).alias("head"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "totals", F.struct("table_id", "sums")))), lambda x: x["sums"])).alias("sums"),
+    )
+    out = docs.select("doc_id", _map(F.col("head"), "field", "value").alias("header"), "item_count", "total_amount", _map(F.col("sums"), "label", "amount").alias("totals"))
+    return out.fillna({"item_count": 0, "total_amount": 0.0})
 
 
 def kind_counts(cells: DataFrame) -> DataFrame:
