@@ -43,7 +43,8 @@ MISSPELLED = 0.6
 STRAYS = 2000
 #: Words on either side of a match that are its context.
 CONTEXT = 6
-#: Words whose matches a worker keeps at once.
+#: States of the automaton, and words whose matches, that a worker keeps at once.
+MAX_STATES = 200_000
 CACHE_WORDS = 250_000
 MARKS = ".,;:!?()[]{}<>|*_~#%&$+=/\\-–—…\"'“”„«»‘’"
 QUOTES = "\"“”„«»‘’"
@@ -86,6 +87,10 @@ class LexiconAutomaton:
             for c in ["", *term]:
                 node = self.children[node][c] if c else node
                 self.allowed[node] = max(self.allowed[node], own)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the start is known; further states are found as words are read."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[dict[int, int]] = []
         self.accept: list[tuple[int, int] | None] = []
@@ -130,6 +135,8 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the nearest term within its bound."""
+        if len(self.sets) > MAX_STATES:
+            self._forget()
         state = self.start
         for c in word:
             moves = self.moves[state]

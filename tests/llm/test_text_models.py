@@ -135,6 +135,15 @@ def test_automaton_against_distance():
     assert automaton.match("stemming") == (4, 0) and automaton.match("ste") is None
 
 
+def test_automaton_forgets_states(monkeypatch):
+    terms = ["idiot", "worthless", "pathetic"]
+    words = ["idoit", "wortless", "patetic", "lamp", "idiots", "worthles"] * 3
+    whole = [toxicity.LexiconAutomaton(terms).match(w) for w in words]
+    monkeypatch.setattr(toxicity, "MAX_STATES", 3)
+    automaton = toxicity.LexiconAutomaton(terms)
+    assert [automaton.match(w) for w in words] == whole
+
+
 def toxic_rows(n=240):
     rng = random.Random(11)
     rows, labels = [], []
@@ -245,6 +254,13 @@ def test_decontamination_empty(spark, make_docs):
     assert decontamination.decontaminate(make_docs([]), none).collect() == []
 
 
+def test_items_without_ids(spark, make_docs):
+    text = " ".join(f"w{i}" for i in range(13))
+    bench = spark.createDataFrame([(None, text), (None, None), (5, text)], "item_id long, text string")
+    (r,) = decontamination.decontaminate(make_docs([(1, text)]), bench).collect()
+    assert (r["n_items"], r["n_hit"], r["items_sha256"]) == (2, 13, hashlib.sha256(b",5").hexdigest())
+
+
 def test_fm_index_counts():
     rng = np.random.default_rng(2)
     text = rng.integers(0, 4, 400).astype(np.int32)
