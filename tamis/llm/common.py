@@ -20,7 +20,8 @@ SLICE_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One input table, through Spark's own reader (paths may be in any Hadoop-readable store)."""
+    """One input table of a query, through Spark's own reader (paths may be in any Hadoop-readable store)."""
+    lower_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -44,16 +45,30 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lower_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to :data:`ROWS_PER_BATCH` rows, and never raises them.
+
+    Queries and pipeline stages call this, because they return lazy results: batches of 64 MB, which Spark makes of
+    documents by default, cost a worker and the JVM beside it several times their size. Operators called directly
+    leave the session alone.
+    """
+    now = int(spark.conf.get(_BATCH))
+    if not 0 < now <= ROWS_PER_BATCH:
+        spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
+
+
 @contextmanager
 def short_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of :data:`ROWS_PER_BATCH` rows for what runs inside; the session's own setting is put back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(ROWS_PER_BATCH, int(before)) if int(before) > 0 else ROWS_PER_BATCH))
+    before = spark.conf.get(_BATCH)
+    lower_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(_BATCH, before)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
