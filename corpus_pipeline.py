@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import decontamination, language_id, near_dedup, packing, substring_dedup
-from tamis.llm.common import materialize, read
+from tamis.llm.common import lower_batches, materialize, read
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go."""
+    lower_batches(spark)  # for the lazy result
     return language_id.keep_identified(docs)
 
 
