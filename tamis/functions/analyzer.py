@@ -24,20 +24,34 @@ def standard_tokens(text: Column) -> Column:
 
 
 def strip_elision(token: Column) -> Column:
-    return F.regexp_replace(token, f"^(?:{'|'.join(ELISIONS)})['’]", "")
+    marked = F.contains(token, F.lit("'")) | F.contains(token, F.lit("’"))
+    return F.when(marked, F.regexp_replace(token, f"^(?:{'|'.join(ELISIONS)})['’]", "")).otherwise(token)
 
 
-def light_stem(token: Column) -> Column:
-    """Plural, feminine and accent folding of French words in a light way: -aux to -al, then final s x e, doubled letters, accents."""
-    t = F.when(F.length(token) > 4, F.regexp_replace(token, "aux$", "al")).otherwise(token)
-    t = F.when(F.length(t) > 3, F.regexp_replace(t, "[sx]$", "")).otherwise(t)
-    t = F.when(F.length(t) > 3, F.regexp_replace(t, "e$", "")).otherwise(t)
-    t = F.translate(t, "àâäéèêëîïôöùûüç", "aaaeeeeiioouuuc")
-    return F.when(F.length(t) > 4, F.regexp_replace(t, r"(.)\1$", "$1")).otherwise(t)
+def _without(t: Column, n: int) -> Column:
+    return F.substr(t, F.lit(1), F.length(t) - n)
+
+
+#: Plural, feminine and accent folding of French words in a light way: -aux to -al, then final s or x, e, accents, doubled letters.
+_STEPS = [
+    lambda t: F.when((F.length(t) > 4) & F.endswith(t, F.lit("aux")), F.concat(_without(t, 2), F.lit("l"))).otherwise(t),
+    lambda t: F.when((F.length(t) > 3) & (F.endswith(t, F.lit("s")) | F.endswith(t, F.lit("x"))), _without(t, 1)).otherwise(t),
+    lambda t: F.when((F.length(t) > 3) & F.endswith(t, F.lit("e")), _without(t, 1)).otherwise(t),
+    lambda t: F.translate(t, "àâäéèêëîïôöùûüç", "aaaeeeeiioouuuc"),
+    lambda t: F.when((F.length(t) > 4) & (F.right(t, F.lit(1)) == F.substr(t, F.length(t) - 1, F.lit(1))), _without(t, 1)).otherwise(t),
+]
+
+
+def light_stems(tokens: Column, keep: list[str] | None = None) -> Column:
+    """Stems of an array of words; words in ``keep`` stay. One pass per step, so that no step is worked out more than once."""
+    if keep:
+        return F.transform(tokens, lambda t: F.when(t.isin(keep), t).otherwise(F.element_at(light_stems(F.array(t)), 1)))
+    for step in _STEPS:
+        tokens = F.transform(tokens, step)
+    return tokens
 
 
 def french_tokens(text: Column, keep: list[str] | None = None) -> Column:
     """Standard tokens, elisions off, stop words out, lightly stemmed; words in ``keep`` are not stemmed."""
     bare = F.transform(standard_tokens(text), strip_elision)
-    kept = F.filter(bare, lambda t: ~t.isin(STOP_WORDS) & (F.length(t) > 0))
-    return F.transform(kept, lambda t: F.when(t.isin(keep), t).otherwise(light_stem(t)) if keep else light_stem(t))
+    return light_stems(F.filter(bare, lambda t: ~t.isin(STOP_WORDS) & (F.length(t) > 0)), keep)

@@ -35,22 +35,19 @@ def query_terms(queries: DataFrame, tokens: Callable[[Column], Column] = ascii_t
     return terms.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
 
 
-def postings(docs: DataFrame, wanted: list[str], fields: dict[str, Column], tokens: Callable[[Column], Column] = ascii_tokens) -> DataFrame:
-    """doc_id, field, dl (tokens of the field), term and tf, for the wanted terms only: other tokens never leave their row."""
-    rows = None
-    for name, text in fields.items():
-        one = docs.select("doc_id", F.lit(name).alias("field"), tokens(text).alias("t"))
-        rows = one if rows is None else rows.unionByName(one)
-    hits = rows.select("doc_id", "field", F.size("t").alias("dl"), F.explode(F.filter("t", lambda x: x.isin(wanted))).alias("term"))
-    return hits.groupBy("doc_id", "field", "dl", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, wanted: list[str], fields: dict[str, Column], tokens: Callable[[Column], Column] = ascii_tokens) -> tuple[DataFrame, DataFrame]:
+    """Postings of the wanted terms (doc_id, field, dl, term, tf), and per field its documents with any token and mean length.
 
-
-def field_stats(docs: DataFrame, fields: dict[str, Column], tokens: Callable[[Column], Column] = ascii_tokens) -> DataFrame:
-    """Documents with any token and mean length, per field: one row each, in one pass."""
-    sizes = docs.select(*(F.size(tokens(text)).alias(name) for name, text in fields.items()))
-    aggs = [x for f in fields for x in (F.count_if(F.col(f) > 0).alias(f"n_{f}"), F.sum(f).alias(f"s_{f}"))]
-    rows = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"n_{f}").alias("n_docs"), F.try_divide(F.col(f"s_{f}"), F.col(f"n_{f}")).alias("avg_dl")) for f in fields))
-    return sizes.agg(*aggs).select(F.inline(rows))
+    Other tokens never leave their row. A row with a blank term carries every document's length beside its postings,
+    so both come from one pass: what tells the two apart is a count, which no filter can be pushed below, and terms are
+    never null, so none is inferred either, and the branches share one exchange.
+    """
+    rows = docs.select("doc_id", *(tokens(text).alias(f) for f, text in fields.items()))
+    hits = lambda f: F.transform(F.filter(f, lambda x: x.isin(wanted)), lambda x: F.coalesce(x, F.lit("")))
+    rows = rows.select("doc_id", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.size(f).alias("dl"), F.concat(F.array(F.lit("")), F.coalesce(hits(f), F.array(F.lit("")))).alias("t")) for f in fields))))
+    counted = rows.select("doc_id", "field", "dl", F.explode("t").alias("term")).groupBy("doc_id", "field", "dl", "term").agg(F.count_if(F.col("term") != "").alias("tf"))
+    sizes = counted.filter("tf = 0").groupBy("field").agg(F.count_if(F.col("dl") > 0).alias("n_docs"), F.sum(F.greatest("dl", F.lit(0))).alias("total"))
+    return counted.filter("tf > 0"), sizes.select("field", "n_docs", F.try_divide("total", "n_docs").alias("avg_dl"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, Column], boosts: dict[str, float] | None = None, all_terms: bool = True, tokens: Callable[[Column], Column] = ascii_tokens) -> DataFrame:
@@ -59,7 +56,7 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, Column], boosts:
     found = queries.limit(MAX_QUERIES + 1).select(F.explode(F.array_distinct(tokens(F.col("query")))).alias("t"), "query_id").collect()
     if len({r["query_id"] for r in found}) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries at once; pass them in several frames")
-    return scored_postings(postings(docs, sorted({r["t"] for r in found}), fields, tokens), field_stats(docs, fields, tokens), terms, boosts, all_terms)
+    return scored_postings(*postings(docs, sorted({r["t"] for r in found}), fields, tokens), terms, boosts, all_terms)
 
 
 def scored_postings(post: DataFrame, stats: DataFrame, terms: DataFrame, boosts: dict[str, float] | None, all_terms: bool) -> DataFrame:
