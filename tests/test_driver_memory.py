@@ -48,3 +48,15 @@ def test_greedy_table_merge(spark):
     assert "Broadcast" not in plan
     expected = greedy(SF, lambda k, n: 6 * n / 130, lambda a, b, rows: rows[a] == rows[b])
     assert len(rows) == len(expected) and {r["table_id"] for r in rows} == expected
+
+
+def regions_overlap(a, b, rows):
+    shared = (20 - 4 * abs(a % 4 - b % 4)) * 10
+    return shared / (400 - shared) > 0.6
+
+
+def test_region_merge(spark):
+    rows, plan = run(spark, "region_merge")
+    assert "Broadcast" not in plan
+    expected = greedy(SF, lambda k, n: 6 * n / 130 + k % 3, regions_overlap, 5)
+    assert len(rows) == len(expected) and {r["table_id"] for r in rows} == expected
