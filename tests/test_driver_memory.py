@@ -1,7 +1,6 @@
 """Joins whose sides follow the corpus stay out of the driver, however small Spark thinks they are, and keep their results."""
 
 import duckdb
-import pytest
 
 from tamis import catalog
 from tests.conftest import SF
@@ -60,3 +59,16 @@ def test_region_merge(spark):
     assert "Broadcast" not in plan
     expected = greedy(SF, lambda k, n: 6 * n / 130 + k % 3, regions_overlap, 5)
     assert len(rows) == len(expected) and {r["table_id"] for r in rows} == expected
+
+
+def against_sql(spark, name):
+    """A similarity query takes no broadcast and returns its SQL's rows."""
+    rows, plan = run(spark, name)
+    assert "Broadcast" not in plan
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW part AS SELECT * FROM '{SF}/part.parquet'")
+    assert sorted(tuple(r[c] for c in ("left_id", "right_id", "similarity")) for r in rows) == sorted(db.sql(catalog.oracle_sql()[name]).fetchall())
+
+
+def test_fuzzy_table_similarity(spark):
+    against_sql(spark, "fuzzy_table_similarity")
