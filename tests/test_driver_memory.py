@@ -72,3 +72,7 @@ def against_sql(spark, name):
 
 def test_fuzzy_table_similarity(spark):
     against_sql(spark, "fuzzy_table_similarity")
+
+
+def test_table_similarity(spark):
+    against_sql(spark, "table_similarity")
