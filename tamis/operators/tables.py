@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.sources.work import work_dir
+
 # Limits, error marks, placeholders and date formats.
 MIN_ROWS, MIN_COLS, MAX_EMPTY, MAX_ERROR, NUMERIC_SHARE = 2, 2, 0.7, 0.3, 0.7
 ERROR_MARKERS = ["#", "?", "!", "error", "err", "null", "none"]
@@ -112,8 +114,22 @@ def fix(cells: DataFrame) -> DataFrame:
 def validate(cells: DataFrame) -> DataFrame:
     """Cells of tables with a sound structure, mended, whose content is sound."""
     sound = shape(cells).filter((F.col("n_rows") >= MIN_ROWS) & (F.col("n_cols") >= MIN_COLS)).select("table_id")
-    mended = fix(cells.join(sound, "table_id", "left_semi")).drop("numeric")
-    return mended.join(verdicts(mended).filter("content_ok").select("table_id"), "table_id", "left_semi")
+    mended = fix(cells.join(by_merge(sound), "table_id", "left_semi")).drop("numeric")
+    return _content_ok(mended)
+
+
+def _content_ok(cells: DataFrame) -> DataFrame:
+    """Cells of tables that hold the content rule of :func:`verdicts`, by windows: the cells are not computed twice and joined."""
+    table, column = Window.partitionBy("table_id"), Window.partitionBy(*COLUMN)
+    n, text = number(F.col("value")), F.lower(F.col("value"))
+    marks = F.lit(0)
+    for m in ERROR_MARKERS:
+        marks = marks + F.when(F.contains(text, F.lit(m)), 1).otherwise(0)
+    numeric = F.count(n).over(column) > NUMERIC_SHARE * F.count("*").over(column)
+    c = cells.withColumns({"odd": F.when(numeric & F.col("value").isNotNull() & n.isNull(), 1).otherwise(0), "marks": marks})
+    total = F.count("*").over(table)
+    empty, error = F.count_if(F.col("value").isNull()).over(table) / total, F.sum(F.col("marks") + F.col("odd")).over(table) / total
+    return c.withColumn("ok", (empty <= MAX_EMPTY) & (error <= MAX_ERROR)).filter("ok").drop("odd", "marks", "ok")
 
 
 def column_types(cells: DataFrame) -> DataFrame:
@@ -150,9 +166,9 @@ def clean_values(cells: DataFrame) -> DataFrame:
 
 def column_pairs(cells: DataFrame) -> DataFrame:
     """Per pair of columns of a table: shares of rows where both are empty, and where exactly one is."""
-    a = cells.select("table_id", "row_idx", F.col("col_idx").alias("left_col"), F.col("value").isNull().alias("na"))
-    b = cells.select("table_id", "row_idx", F.col("col_idx").alias("right_col"), F.col("value").isNull().alias("nb"))
-    both = a.join(b, ROW).filter("left_col < right_col")
+    row = cells.dropna(subset=ROW).groupBy(*ROW).agg(F.collect_list(F.struct("col_idx", F.col("value").isNull().alias("empty"))).alias("c"))  # a row's cells
+    left = row.select("table_id", "c", F.inline("c")).select("table_id", "c", F.col("col_idx").alias("left_col"), F.col("empty").alias("na"))
+    both = left.select("table_id", "left_col", "na", F.inline("c")).withColumnsRenamed({"col_idx": "right_col", "empty": "nb"}).filter("left_col < right_col")
     return both.groupBy("table_id", "left_col", "right_col").agg((F.count_if(F.col("na") & F.col("nb")) / F.count("*")).alias("both_empty"), (F.count_if(F.col("na") != F.col("nb")) / F.count("*")).alias("complementary"))
 
 
@@ -166,16 +182,13 @@ def merge_fragments(cells: DataFrame) -> DataFrame:
     pairs = column_pairs(cells).filter("both_empty <= 0.5 and complementary > 0.7")
     wide = shape(cells).filter("n_cols > 2").select("table_id")
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone, out = set(), []
-        for a, b in sorted(zip(pdf["left_col"], pdf["right_col"])):
-            if a not in gone and b not in gone:
-                gone.add(b)
-                out.append((pdf["table_id"].iloc[0], a, b))
-        return pd.DataFrame(out, columns=["table_id", "main", "col_idx"])
+    def choose(taken: Column, p: Column) -> Column:
+        gone = F.exists(taken, lambda t: (t["col_idx"] == p["left_col"]) | (t["col_idx"] == p["right_col"]))
+        return F.when(gone, taken).otherwise(F.array_append(taken, F.struct(p["left_col"].cast("int").alias("main"), p["right_col"].cast("int").alias("col_idx"))))
 
-    chosen = pairs.join(wide, "table_id", "left_semi").select("table_id", "left_col", "right_col").groupBy("table_id").applyInPandas(choose, "table_id string, main int, col_idx int")
-    moved = cells.join(chosen, COLUMN, "left")
+    listed = pairs.join(by_merge(wide), "table_id", "left_semi").groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("left_col", "right_col"))).alias("p"))
+    chosen = listed.select("table_id", F.inline(F.aggregate("p", F.array().cast("array<struct<main:int,col_idx:int>>"), choose)))
+    moved = cells.join(by_merge(chosen), COLUMN, "left")
     keyed = moved.withColumn("to", F.coalesce("main", "col_idx"))
     # longest value wins, the earliest column of equals: combine() over any number of fragments
     best = F.max_by("value", F.when(F.col("value").isNotNull(), F.struct(F.length("value"), -F.col("col_idx"))))
@@ -418,7 +431,7 @@ def near_duplicate_columns(cells: DataFrame, threshold: float = 0.9) -> DataFram
 def optimize(cells: DataFrame) -> DataFrame:
     """Values cleaned, headers cleaned, fragments merged."""
     names = clean_headers(cells.select("table_id", "col_idx", "col_name").distinct()).select("table_id", "col_idx", "header")
-    c = clean_values(cells).join(names, COLUMN).drop("col_name").withColumnRenamed("header", "col_name")
+    c = clean_values(cells).join(by_merge(names), COLUMN).drop("col_name").withColumnRenamed("header", "col_name")
     return merge_fragments(c.select("table_id", "page", "row_idx", "col_idx", "col_name", "value"))
 
 
@@ -435,7 +448,9 @@ def sane(cells: DataFrame) -> DataFrame:
 
 def process(cells: DataFrame) -> DataFrame:
     """Sound tables, mended and optimised: what an extraction hands on."""
-    return optimize(validate(cells).select("table_id", "page", "row_idx", "col_idx", "col_name", "value"))
+    path = work_dir(cells.sparkSession, "cells")  # several steps read the mended cells
+    validate(cells).select("table_id", "page", "row_idx", "col_idx", "col_name", "value").write.parquet(path)
+    return optimize(cells.sparkSession.read.parquet(path))
 
 
 def with_status(tables: DataFrame, processed: DataFrame) -> DataFrame:
