@@ -25,6 +25,8 @@ FORM_SECTIONS = {
     "options": ["option", "choix", "préférence", "sélection"],
 }
 BOX = ["x", "y", "width", "height"]
+#: Boxes of a grid cell that one task joins with as many others.
+BLOCK_BOXES = 4096
 
 
 def detection_top_k(boxes: DataFrame, most: int = MAX_TABLES) -> DataFrame:
@@ -52,16 +54,29 @@ def iou_py(a: dict, b: dict) -> float:
     return dx * dy / union if union > 0 else 0.0
 
 
-def overlapping(boxes: DataFrame, cell: int = 64) -> DataFrame:
-    """Pairs of boxes of a page with any overlap, and their IoU.
+def overlapping(boxes: DataFrame, cell: int = 64, block: int = BLOCK_BOXES) -> DataFrame:
+    """Pairs of boxes of a page with any overlap, and their IoU; rows that repeat a box pair like other rows.
 
-    Boxes are dealt to the grid cells they touch and joined on the cell, so a page's boxes are not all paired.
+    Boxes are dealt to the grid cells they touch and joined on the cell, so a page's boxes are not all paired. Of the cells that two boxes
+    share, only the one where their overlap begins gives the pair, so pairs, which may be as many as a page's boxes squared, pass no shuffle.
+    A cell's boxes are cut by id into blocks, and two blocks meet in one task, so crowded cells are dealt apart too. The number of
+    partitions is explicit: blocks are few bytes and much work, and Spark would put too many into one task.
     """
-    span = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.greatest(F.col(size) - 1, F.lit(0))) / cell))
-    dealt = boxes.select("doc_id", "page", "box_id", *BOX, F.explode(span("x", "width")).alias("gx")).select("*", F.explode(span("y", "height")).alias("gy"))
-    side = lambda p: dealt.select("doc_id", "page", "gx", "gy", *(F.col(c).alias(f"{p}{c}") for c in ["box_id", *BOX]))
-    both = side("a_").join(side("b_"), ["doc_id", "page", "gx", "gy"]).filter("a_box_id < b_box_id").withColumn("iou", iou("a_", "b_")).filter("iou > 0")
-    return both.groupBy("doc_id", "page", F.col("a_box_id").alias("left_id"), F.col("b_box_id").alias("right_id")).agg(F.max("iou").alias("iou"))
+    key = ["doc_id", "page", "gx", "gy"]
+    first = lambda at: F.floor(F.col(at) / cell)
+    span = lambda at, size: F.sequence(first(at), F.floor((F.col(at) + F.col(size)) / cell))
+    dealt = boxes.filter("width > 0 and height > 0").select("doc_id", "page", "box_id", *BOX, F.explode(span("x", "width")).alias("gx")).select("*", F.explode(span("y", "height")).alias("gy"))
+    in_cell = Window.partitionBy(*key)
+    block_of = lambda n: F.floor((n - 1) / block)
+    dealt = dealt.withColumns({"left": F.col("gx") == first("x"), "top": F.col("gy") == first("y"), "own": block_of(F.row_number().over(in_cell.orderBy("box_id"))), "last": block_of(F.count("*").over(in_cell))})
+    # A smaller id is never in a later block, however equal ids are ordered: block i on the left meets blocks j >= i on the right.
+    i, j, on = F.sequence(F.lit(0).cast("long"), "own"), F.sequence("own", "last"), [*key, "i", "j"]
+    a, b = dealt.select("*", F.col("own").alias("i"), F.explode(j).alias("j")), dealt.select("*", F.explode(i).alias("i"), F.col("own").alias("j"))
+    n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda d, p: d.repartition(n, *on).select(*on, *(F.col(c).alias(f"{p}{c}") for c in ["box_id", *BOX, "left", "top"])).hint("merge")
+    begins = [f"least(a_{at} + a_{size}, b_{at} + b_{size}) > greatest(a_{at}, b_{at}) and (a_{edge} or b_{edge})" for at, size, edge in (("x", "width", "left"), ("y", "height", "top"))]
+    both = side(a, "a_").join(side(b, "b_"), on).filter(" and ".join(["a_box_id < b_box_id", *begins]))
+    return both.select("doc_id", "page", F.col("a_box_id").alias("left_id"), F.col("b_box_id").alias("right_id"), iou("a_", "b_").alias("iou"))
 
 
 def nms_py(boxes: np.ndarray, scores: np.ndarray, ids: np.ndarray, threshold: float) -> np.ndarray:
